@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import exact_dedup, langid, mixing, simhash
+from segmenta.llm import exact_dedup, langid, line_dedup, mixing, simhash
 from segmenta.llm.common import table
 
 
@@ -24,4 +24,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_simhash, op4_exact_dedup, op6_mixing)}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_simhash, op4_exact_dedup, op6_mixing, op8_line_dedup)}
