@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import exact_dedup, fertility, langid, line_dedup, mixing, secrets, simhash
+from segmenta.llm import exact_dedup, fertility, langid, line_dedup, mixing, pieces, secrets, simhash
 from segmenta.llm.common import table
 
 
@@ -36,4 +36,8 @@ def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_simhash, op4_exact_dedup, op5_secrets, op6_mixing, op8_line_dedup, op9_fertility)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_simhash, op4_exact_dedup, op5_secrets, op6_mixing, op8_line_dedup, op9_fertility, op10_sentencepiece)}
