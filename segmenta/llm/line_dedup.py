@@ -53,55 +53,69 @@ def index_keys(edits: int) -> list[str]:
 
 
 def probe_keys(edits: int) -> list[str]:
-    """A key for each substring that can equal a segment of a line up to `edits` shorter. For lines equally long the
-    index side itself holds the unshifted ones."""
+    """A key for each substring that can equal a segment of a line up to `edits` shorter. The unshifted ones for lines
+    equally long are the index keys themselves."""
     out = []
     for d in range(edits + 1):
         for k, (b, n) in enumerate(_bounds(f"(len - {d})", edits)):
-            out += [f"xxhash64({k}, len - {d}, substring(line, {b} + 1 + ({s}), {n}))" for s in shifts(edits, d, k)]
+            out += [f"xxhash64({k}, len - {d}, substring(line, {b} + 1 + ({s}), {n}))" for s in shifts(edits, d, k) if d or s]
     return out
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS) -> DataFrame:
-    """lid (md5 of the line), first (id, row, place), line and its length for each line long enough."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
     rows = rows.select("id", "uid", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    rows = rows.withColumn("len", F.length("line")).filter(F.col("len") >= least)
-    return rows.select(F.unhex(F.md5(F.col("line").cast("binary"))).alias("lid"), F.struct("id", "uid", "pos").alias("at"), "line", "len")
+    return rows.filter(F.length("line") >= least)
+
 
+def line_id(line: Column) -> Column:
+    return F.unhex(F.md5(line.cast("binary")))
 
-def near_pairs(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs (a, b) of n, the line numbers, within that many edits, a < b. distinct: n, line, len."""
-    exploded = lambda keys: distinct.select("n", F.explode(F.array(*map(F.expr, keys))).alias("key"))
-    index, probe = exploded(index_keys(edits)), exploded(probe_keys(edits))
-    met = index.withColumnRenamed("n", "x").join(probe.withColumnRenamed("n", "y"), "key").filter("x <> y")
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    text = lambda side: distinct.select(F.col("n").alias(side), F.col("line").alias(f"line_{side}"))
-    known = pairs.join(text("a"), "a").join(text("b"), "b")
-    return known.filter(F.levenshtein("line_a", "line_b", edits) >= 0).select("a", "b")
+
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS) -> DataFrame:
+    """lid (md5 of the line) and at (id, row, place) of each line long enough; no texts."""
+    return _lines(docs, id_col, text_col, least).select(line_id(F.col("line")).alias("lid"), F.struct("id", "uid", "pos").alias("at"))
+
+
+def near_pairs(docs: DataFrame, edits: int = EDITS, text_col: str = "text", least: int = LEAST_CHARS) -> DataFrame:
+    """Pairs (a, b) of lids, each once, whose lines differ and are within that many edits. Texts are dealt once, by a
+    64-bit hash that all later joins use; lines that share a hash stay apart."""
+    found = _lines(docs, text_col, text_col, least).select(F.xxhash64("line").alias("h"), "line")
+    distinct = found.groupBy("h").agg(F.collect_set("line").alias("lines")).select("h", F.explode("lines").alias("line"))
+    keyed = lambda keys: distinct.withColumn("len", F.length("line")).select("h", F.explode(F.array(*map(F.expr, keys))).alias("key"))
+    index, probe = keyed(index_keys(edits)), keyed(probe_keys(edits))
+    met = index.withColumnRenamed("h", "x").join(probe.withColumnRenamed("h", "y"), "key").filter("x <> y").select("x", "y")
+    own = index.withColumnRenamed("h", "x").join(index.withColumnRenamed("h", "y"), "key").filter("x < y").select("x", "y")
+    pairs = met.union(own).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    text = lambda side: distinct.select(F.col("h").alias(side), F.col("line").alias(f"line_{side}"))
+    known = pairs.join(text("x"), "x").join(text("y"), "y")
+    near = known.filter(F.levenshtein("line_x", "line_y", edits) >= 0).select(line_id(F.col("line_x")).alias("a"), line_id(F.col("line_y")).alias("b"))
+    return near
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """For each distinct line: lid, at (first occurrence), copies, links (other texts within the edits) and
-    early_link (one of them first occurs earlier)."""
-    found = occurrences(docs, least=least)
-    distinct = saved(found.groupBy("lid").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), F.first("line").alias("line")).select(F.monotonically_increasing_id().alias("n"), "lid", "at", "copies", "line", F.length("line").alias("len")))
-    pairs = near_pairs(distinct.select("n", "line", "len"), edits)
-    at = lambda side: distinct.select(F.col("n").alias(side), F.col("at").alias(f"at_{side}"))
-    sides = pairs.join(at("a"), "a").join(at("b"), "b")
+    """For each distinct line with a near one: lid, links (other texts within the edits) and early_link (one of them
+    first occurs earlier)."""
+    pairs = saved(near_pairs(docs, edits, least=least))
+    first = occurrences(docs, least=least).join(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "lid", "left_semi")
+    first = first.groupBy("lid").agg(F.min("at").alias("at"))
+    at = lambda side: first.select(F.col("lid").alias(side), F.col("at").alias(f"at_{side}"))
     late = F.col("at_a") > F.col("at_b")
-    ends = sides.select(F.explode(F.array(F.struct(F.col("a").alias("n"), late.alias("late")), F.struct(F.col("b").alias("n"), (~late).alias("late")))).alias("e"))
-    links = ends.groupBy("e.n").agg(F.count(F.lit(1)).alias("links"), F.max("e.late").alias("early_link"))
-    return saved(distinct.drop("line", "len").join(links, "n", "left").select("lid", "at", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("early_link", F.lit(False)).alias("early_link")))
+    sides = pairs.join(at("a"), "a").join(at("b"), "b")
+    ends = sides.select(F.explode(F.array(F.struct(F.col("a").alias("lid"), late.alias("late")), F.struct(F.col("b").alias("lid"), (~late).alias("late")))).alias("e"))
+    return saved(ends.groupBy("e.lid").agg(F.count(F.lit(1)).alias("links"), F.max("e.late").alias("early_link")))
 
 
 def removals(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """uid (row number), copy_lines, near_lines and removed (places in order) of each row that loses lines."""
-    classes = line_classes(docs, edits, least).filter("copies > 1 or early_link").withColumnRenamed("at", "first")
-    lost = occurrences(docs, least=least).select("lid", "at").join(classes, "lid").filter("early_link or at <> first")
+    near = line_classes(docs, edits, least).filter("early_link").select("lid", F.lit(True).alias("near"))
+    found = occurrences(docs, least=least)
+    classes = found.groupBy("lid").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies")).join(near, "lid", "left")
+    lost = found.join(classes.filter("copies > 1 or near"), "lid").filter("near or at <> first")
+    near_line = F.coalesce("near", F.lit(False))
     return lost.groupBy(F.col("at.uid").alias("uid")).agg(
-        F.sum(F.when(F.col("early_link"), 0).otherwise(1)).alias("copy_lines"),
-        F.sum(F.when(F.col("early_link"), 1).otherwise(0)).alias("near_lines"),
+        F.sum(F.when(near_line, 0).otherwise(1)).alias("copy_lines"),
+        F.sum(F.when(near_line, 1).otherwise(0)).alias("near_lines"),
         F.sort_array(F.collect_list("at.pos")).alias("removed"),
     )
 
