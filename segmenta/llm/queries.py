@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import exact_dedup, fertility, langid, line_dedup, mixing, pieces, secrets, simhash, wrapper
+from segmenta.llm import exact_dedup, fertility, langid, line_dedup, mixing, pieces, secrets, simhash, toxicity, wrapper
 from segmenta.llm.common import table
 
 
@@ -44,4 +44,8 @@ def op7_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_simhash, op4_exact_dedup, op5_secrets, op6_mixing, op7_wrapper, op8_line_dedup, op9_fertility, op10_sentencepiece)}
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_simhash, op4_exact_dedup, op5_secrets, op6_mixing, op7_wrapper, op8_line_dedup, op9_fertility, op10_sentencepiece)}
