@@ -1,26 +1,56 @@
-"""The corpus pipeline: documents pass through operators of segmenta.llm, each stage over all that the last one kept."""
+"""The corpus pipeline: documents pass through operators of segmenta.llm, each stage over all that the last one kept.
+
+language     documents with a letter whose language is identified stay
+lines        later copies and near copies of long lines go; every document stays
+near         of each group of near-duplicate documents the one with the least id stays
+mixing       documents are taken as their source's target asks, up to twice
+encoding     texts become SentencePiece ids, checked by decoding
+
+A stage's input is a stored table: some stages number its rows twice.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import langid, mixing
+from segmenta.llm import langid, line_dedup, mixing, pieces, simhash
+from segmenta.llm.common import shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeated_lines(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("language", language), ("mixing", mixing_stage)]
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(docs)
+
+
+STAGES = [("language", language), ("lines", lines), ("near", near), ("mixing", mixed), ("encoding", encoding)]
+#: Hashed n-gram scores, fingerprints and merges are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each result but the last written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
