@@ -14,6 +14,7 @@ occur in Spark strings; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import os
 import re
@@ -319,19 +320,21 @@ def _portions(chunks: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _model(docs: DataFrame, vocabulary: str):
+def _model(docs: DataFrame, vocabulary: str) -> tuple:
+    """A name and the broadcast file."""
     with open(vocabulary, "rb") as f:
-        return docs.sparkSession.sparkContext.broadcast(f.read())
+        data = f.read()
+    return hashlib.sha256(data).hexdigest(), docs.sparkSession.sparkContext.broadcast(data)
 
 
-def _encoder(model) -> Encoder:
+def _encoder(model: tuple) -> Encoder:
     """One for each worker and model, so that what it remembers lasts from batch to batch."""
-    if model.id not in _encoders:
-        _encoders[model.id] = Encoder(model.value)
-    return _encoders[model.id]
+    if model[0] not in _encoders:
+        _encoders[model[0]] = Encoder(model[1].value)
+    return _encoders[model[0]]
 
 
 def encoded(text: Column, docs: DataFrame, vocabulary: str = VOCABULARY) -> Column:
