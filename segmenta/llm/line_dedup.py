@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from segmenta.llm.common import saved
 
 EDITS = 2
+#: Index rows of a key from which its lines are compared in place.
+CROWD = 16
 LEAST_CHARS = 40
 
 
@@ -77,32 +79,48 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _lines(docs, id_col, text_col, least).select(line_id(F.col("line")).alias("lid"), F.struct("id", "uid", "pos").alias("at"))
 
 
-def near_pairs(docs: DataFrame, edits: int = EDITS, text_col: str = "text", least: int = LEAST_CHARS) -> DataFrame:
-    """Pairs (a, b) of lids, each once, whose lines differ and are within that many edits. Texts are dealt once, by a
-    64-bit hash that all later joins use; lines that share a hash stay apart."""
-    found = _lines(docs, text_col, text_col, least).select(F.xxhash64("line").alias("h"), "line")
-    distinct = found.groupBy("h").agg(F.collect_set("line").alias("lines")).select("h", F.explode("lines").alias("line"))
-    keyed = lambda keys: distinct.withColumn("len", F.length("line")).select("h", F.explode(F.array(*map(F.expr, keys))).alias("key"))
-    index, probe = keyed(index_keys(edits)), keyed(probe_keys(edits))
-    met = index.withColumnRenamed("h", "x").join(probe.withColumnRenamed("h", "y"), "key").filter("x <> y").select("x", "y")
-    own = index.withColumnRenamed("h", "x").join(index.withColumnRenamed("h", "y"), "key").filter("x < y").select("x", "y")
-    pairs = met.union(own).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    text = lambda side: distinct.select(F.col("h").alias(side), F.col("line").alias(f"line_{side}"))
-    known = pairs.join(text("x"), "x").join(text("y"), "y")
-    near = known.filter(F.levenshtein("line_x", "line_y", edits) >= 0).select(line_id(F.col("line_x")).alias("a"), line_id(F.col("line_y")).alias("b"))
-    return near
+def candidates(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS, crowd: int = CROWD) -> DataFrame:
+    """Buckets of lines that may be near each other: (kind, k1, k2, own, h, line, at). Members of a bucket are compared
+    with its own ones. Texts are dealt once, by a 64-bit hash h that all joins use; lines that share a hash are told
+    apart but take the earlier one's place.
+
+    Of keys with up to `crowd` index rows each meeting makes a bucket of two. A crowded key is a bucket itself: its
+    members are compared where they stand, and no row is made for a pair that fails."""
+    found = _lines(docs, id_col, text_col, least).select(F.xxhash64("line").alias("h"), "line", F.struct("id", "uid", "pos").alias("at"))
+    distinct = found.groupBy("h").agg(F.collect_set("line").alias("lines"), F.min("at").alias("at")).select("h", F.explode("lines").alias("line"), "at")
+    keyed = lambda keys, h: distinct.withColumn("len", F.length("line")).select(F.col("h").alias(h), F.explode(F.array(*map(F.expr, keys))).alias("key"))
+    index, probe = keyed(index_keys(edits), "x"), keyed(probe_keys(edits), "y")
+    crowded = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key")
+    few = index.join(crowded, "key", "left_anti")
+    met = few.join(probe, "key").filter("x <> y").select("x", "y")
+    own = few.join(few.withColumnRenamed("x", "y"), "key").filter("x < y").select("x", "y")
+    pairs = met.union(own).select(F.least("x", "y").alias("k1"), F.greatest("x", "y").alias("k2")).distinct()
+    two = pairs.select(F.lit(0).alias("kind"), "k1", "k2", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("k1").alias("h")), F.struct(F.lit(False).alias("own"), F.col("k2").alias("h")))).alias("m")).select("kind", "k1", "k2", "m.*")
+    crowd_of = lambda rows, h, flag: rows.join(crowded, "key", "left_semi").select(F.lit(1).alias("kind"), F.col("key").alias("k1"), F.lit(0).cast("bigint").alias("k2"), F.lit(flag).alias("own"), F.col(h).alias("h"))
+    asked = two.union(crowd_of(index, "x", True)).union(crowd_of(probe, "y", False))
+    return saved(asked.join(distinct, "h"))
+
+
+def near_pairs(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, crowd: int = CROWD) -> DataFrame:
+    """Pairs (a, b) of lids, with the places of their first occurrences, whose lines differ and are within that many
+    edits."""
+    members = candidates(docs, edits, least=least, crowd=crowd)
+    side = lambda k: members.select("kind", "k1", "k2", *[F.col(c).alias(f"{c}_{k}") for c in ("own", "h", "line", "at")])
+    met = side("a").filter("own_a").join(side("b"), ["kind", "k1", "k2"])
+    once = (F.col("h_a") < F.col("h_b")) | (~F.col("own_b") & (F.col("h_a") != F.col("h_b")))
+    near = met.filter(once & (F.levenshtein("line_a", "line_b", edits) >= 0))
+    ends = [F.struct(line_id(F.col(f"line_{k}")).alias("lid"), F.col(f"at_{k}").alias("at")) for k in "ab"]
+    first = F.col("a.lid") < F.col("b.lid")
+    near = near.select(ends[0].alias("a"), ends[1].alias("b"))
+    return near.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """For each distinct line with a near one: lid, links (other texts within the edits) and early_link (one of them
     first occurs earlier)."""
-    pairs = saved(near_pairs(docs, edits, least=least))
-    first = occurrences(docs, least=least).join(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "lid", "left_semi")
-    first = first.groupBy("lid").agg(F.min("at").alias("at"))
-    at = lambda side: first.select(F.col("lid").alias(side), F.col("at").alias(f"at_{side}"))
-    late = F.col("at_a") > F.col("at_b")
-    sides = pairs.join(at("a"), "a").join(at("b"), "b")
-    ends = sides.select(F.explode(F.array(F.struct(F.col("a").alias("lid"), late.alias("late")), F.struct(F.col("b").alias("lid"), (~late).alias("late")))).alias("e"))
+    pairs = near_pairs(docs, edits, least)
+    late = F.col("a.at") > F.col("b.at")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a.lid").alias("lid"), late.alias("late")), F.struct(F.col("b.lid").alias("lid"), (~late).alias("late")))).alias("e"))
     return saved(ends.groupBy("e.lid").agg(F.count(F.lit(1)).alias("links"), F.max("e.late").alias("early_link")))
 
 

@@ -32,7 +32,7 @@ BLANK = "▁"
 LONG = 64
 #: Characters of distinct chunks that one suffix array indexes, and chunks whose ids a worker remembers.
 INDEX_CHARS = 1 << 19
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 20
 
 
 class Vocabulary:
@@ -48,8 +48,7 @@ class Vocabulary:
         self.prefix = proto.normalizer_spec.add_dummy_prefix
         self.pieces = [p.piece for p in proto.pieces]
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
-        self.byte_of = {i: b for b, i in self.byte_ids.items()}
-        self.silent = {i for i, p in enumerate(proto.pieces) if p.type in (2, 3)}
+        self.spelling = [b"" if p.type in (2, 3) else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.encode() for p in proto.pieces]
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (1, 4)}
         self.scores = np.array([p.score for p in proto.pieces])
         # rank 0 is the best score; equal scores cannot meet, as scores of merges are distinct
@@ -91,12 +90,12 @@ def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
         ahead = np.zeros(n, np.int64)
         ahead[: n - k] = rank[k:] + 1
         key = rank * (n + 2) + ahead
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         step = np.empty(n, np.int64)
         step[0], step[1:] = 0, key[order][1:] != key[order][:-1]
         rank[order] = np.cumsum(step)
         k *= 2
-    return np.argsort(rank, kind="stable"), rank
+    return np.argsort(rank), rank
 
 
 def occurrence_ranges(codes: np.ndarray, order: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +134,7 @@ def edges_of(codes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     piece = np.repeat(np.arange(len(n)), n)
     begin = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
     key = begin * (v.depth + 1) + v.sorted_len[piece]
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)
     return key[by], v.sorted_ids[piece[by]]
 
 
@@ -303,8 +302,7 @@ class Encoder:
         if ids is None:
             return None
         v = self.v
-        parts = [bytes([v.byte_of[i]]) if i in v.byte_of else b"" if i in v.silent else v.pieces[i].encode() for i in ids.tolist()]
-        text = b"".join(parts).decode("utf-8", "replace").replace(BLANK, " ")
+        text = b"".join(map(v.spelling.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if v.prefix and text.startswith(" ") else text
 
 
@@ -361,7 +359,7 @@ def decoded(ids: Column, docs: DataFrame, vocabulary: str = VOCABULARY) -> Colum
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding the ids gives the text back (blanks for U+2581)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1024)  # more chunks for one index
     model = _model(docs, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -137,6 +137,8 @@ def test_lines_against_brute_force(spark, docs_of, edits):
     docs = docs_of(rows).coalesce(1)
     got = {r.uid: r.removed for r in line_dedup.removals(docs, edits=edits, least=12).collect()}
     assert got == brute_lines(rows, edits, 12)
+    pairs = [{(r.a.lid, r.b.lid) for r in line_dedup.near_pairs(docs, edits, 12, crowd).collect()} for crowd in (0, 2, 1000)]
+    assert pairs[0] == pairs[1] == pairs[2] and pairs[0]
 
 
 def test_lines_edges(spark, docs_of):
