@@ -79,39 +79,40 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _lines(docs, id_col, text_col, least).select(line_id(F.col("line")).alias("lid"), F.struct("id", "uid", "pos").alias("at"))
 
 
-def candidates(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS, crowd: int = CROWD) -> DataFrame:
-    """Buckets of lines that may be near each other: (kind, k1, k2, own, h, line, at). Members of a bucket are compared
-    with its own ones. Texts are dealt once, by a 64-bit hash h that all joins use; lines that share a hash are told
-    apart but take the earlier one's place.
-
-    Of keys with up to `crowd` index rows each meeting makes a bucket of two. A crowded key is a bucket itself: its
-    members are compared where they stand, and no row is made for a pair that fails."""
+def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS) -> DataFrame:
+    """h (a 64-bit hash), line and at (its first place). Lines that share a hash are told apart but take the earlier one's
+    place. Line and place are built as one value, so every use needs the same columns and the texts are dealt once."""
     found = _lines(docs, id_col, text_col, least).select(F.xxhash64("line").alias("h"), "line", F.struct("id", "uid", "pos").alias("at"))
-    distinct = found.groupBy("h").agg(F.collect_set("line").alias("lines"), F.min("at").alias("at")).select("h", F.explode("lines").alias("line"), "at")
+    grouped = found.groupBy("h").agg(F.collect_set("line").alias("lines"), F.min("at").alias("at"))
+    both = F.transform("lines", lambda line: F.struct(line.alias("line"), F.col("at").alias("at")))
+    return grouped.select("h", F.explode(both).alias("l")).select("h", "l.line", "l.at")
+
+
+def near_pairs(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, crowd: int = CROWD) -> DataFrame:
+    """Pairs (a, b) of lids, with the places of their first occurrences, whose lines differ and are within that many
+    edits.
+
+    Of keys with up to `crowd` index rows each meeting makes a pair of hashes, whose texts are fetched. The lines of a
+    crowded key are compared where they stand, and no row is made for a pair that fails."""
+    distinct = distinct_lines(docs, least=least)
     keyed = lambda keys, h: distinct.withColumn("len", F.length("line")).select(F.col("h").alias(h), F.explode(F.array(*map(F.expr, keys))).alias("key"))
     index, probe = keyed(index_keys(edits), "x"), keyed(probe_keys(edits), "y")
     crowded = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key")
     few = index.join(crowded, "key", "left_anti")
     met = few.join(probe, "key").filter("x <> y").select("x", "y")
     own = few.join(few.withColumnRenamed("x", "y"), "key").filter("x < y").select("x", "y")
-    pairs = met.union(own).select(F.least("x", "y").alias("k1"), F.greatest("x", "y").alias("k2")).distinct()
-    two = pairs.select(F.lit(0).alias("kind"), "k1", "k2", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("k1").alias("h")), F.struct(F.lit(False).alias("own"), F.col("k2").alias("h")))).alias("m")).select("kind", "k1", "k2", "m.*")
-    crowd_of = lambda rows, h, flag: rows.join(crowded, "key", "left_semi").select(F.lit(1).alias("kind"), F.col("key").alias("k1"), F.lit(0).cast("bigint").alias("k2"), F.lit(flag).alias("own"), F.col(h).alias("h"))
-    asked = two.union(crowd_of(index, "x", True)).union(crowd_of(probe, "y", False))
-    return saved(asked.join(distinct, "h"))
-
-
-def near_pairs(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, crowd: int = CROWD) -> DataFrame:
-    """Pairs (a, b) of lids, with the places of their first occurrences, whose lines differ and are within that many
-    edits."""
-    members = candidates(docs, edits, least=least, crowd=crowd)
-    side = lambda k: members.select("kind", "k1", "k2", *[F.col(c).alias(f"{c}_{k}") for c in ("own", "h", "line", "at")])
-    met = side("a").filter("own_a").join(side("b"), ["kind", "k1", "k2"])
-    once = (F.col("h_a") < F.col("h_b")) | (~F.col("own_b") & (F.col("h_a") != F.col("h_b")))
-    near = met.filter(once & (F.levenshtein("line_a", "line_b", edits) >= 0))
+    pairs = met.union(own).select(F.least("x", "y").alias("h_a"), F.greatest("x", "y").alias("h_b")).distinct()
+    side = lambda k: distinct.select(*[F.col(c).alias(f"{c}_{k}") for c in ("h", "line", "at")])
+    within = F.levenshtein("line_a", "line_b", edits) >= 0
+    apart = pairs.join(side("a"), "h_a").join(side("b"), "h_b").filter(within)
+    indexed = index.join(crowded, "key", "left_semi").select("key", F.col("x").alias("h_a"))
+    probing = probe.join(crowded, "key", "left_semi").select("key", F.lit(False).alias("own"), F.col("y").alias("h_b"))
+    others = probing.union(indexed.select("key", F.lit(True), "h_a"))
+    once = (F.col("h_a") < F.col("h_b")) | (~F.col("own") & (F.col("h_a") != F.col("h_b")))
+    together = indexed.join(side("a"), "h_a").join(others.join(side("b"), "h_b"), "key").filter(once & within)
     ends = [F.struct(line_id(F.col(f"line_{k}")).alias("lid"), F.col(f"at_{k}").alias("at")) for k in "ab"]
+    near = apart.select(*[e.alias(k) for e, k in zip(ends, "ab", strict=True)]).union(together.select(*ends))
     first = F.col("a.lid") < F.col("b.lid")
-    near = near.select(ends[0].alias("a"), ends[1].alias("b"))
     return near.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
 
 
