@@ -93,20 +93,21 @@ def near_pairs(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, cr
     edits.
 
     Of keys with up to `crowd` index rows each meeting makes a pair of hashes, whose texts are fetched. The lines of a
-    crowded key are compared where they stand, and no row is made for a pair that fails."""
+    crowded key are compared where they stand, and no row is made for a pair that fails. Joins with the crowded keys are
+    plain ones (keys are distinct there): semi joins would be pushed below the names and the dealt keys not shared."""
     distinct = distinct_lines(docs, least=least)
     keyed = lambda keys, h: distinct.withColumn("len", F.length("line")).select(F.col("h").alias(h), F.explode(F.array(*map(F.expr, keys))).alias("key"))
     index, probe = keyed(index_keys(edits), "x"), keyed(probe_keys(edits), "y")
-    crowded = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key")
-    few = index.join(crowded, "key", "left_anti")
+    crowded = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd)
+    few = index.join(crowded, "key", "left").filter("n IS NULL").drop("n")
     met = few.join(probe, "key").filter("x <> y").select("x", "y")
     own = few.join(few.withColumnRenamed("x", "y"), "key").filter("x < y").select("x", "y")
     pairs = met.union(own).select(F.least("x", "y").alias("h_a"), F.greatest("x", "y").alias("h_b")).distinct()
     side = lambda k: distinct.select(*[F.col(c).alias(f"{c}_{k}") for c in ("h", "line", "at")])
     within = F.levenshtein("line_a", "line_b", edits) >= 0
     apart = pairs.join(side("a"), "h_a").join(side("b"), "h_b").filter(within)
-    indexed = index.join(crowded, "key", "left_semi").select("key", F.col("x").alias("h_a"))
-    probing = probe.join(crowded, "key", "left_semi").select("key", F.lit(False).alias("own"), F.col("y").alias("h_b"))
+    indexed = index.join(crowded, "key").select("key", F.col("x").alias("h_a"))
+    probing = probe.join(crowded, "key").select("key", F.lit(False).alias("own"), F.col("y").alias("h_b"))
     others = probing.union(indexed.select("key", F.lit(True), "h_a"))
     once = (F.col("h_a") < F.col("h_b")) | (~F.col("own") & (F.col("h_a") != F.col("h_b")))
     together = indexed.join(side("a"), "h_a").join(others.join(side("b"), "h_b"), "key").filter(once & within)
