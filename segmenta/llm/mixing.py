@@ -143,6 +143,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     sizes = saved(rows.select("__uid", F.col("__uid").alias("uid"), F.col("doc_id").alias("id"), "source", n_words(F.col("text")).alias("size"), shuffle_key(F.col("doc_id")).alias("key")))
     plan = saved(targets(sizes))
     times = mix_pieces(sizes.drop("__uid"), plan).groupBy("uid", "epoch").agg(F.sum("words").alias("__words"))
-    out = rows.join(times.join(sizes.select("uid", "size"), "uid"), F.col("__uid") == F.col("uid"))
+    times = times.join(sizes.select("uid", "size"), "uid").select(F.col("uid").alias("__uid"), "__words", F.col("size").alias("__size"))
+    out = rows.join(times, "__uid")
     first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), 1), F.lit(1), F.col("__words").cast("int")), " ")
-    return out.withColumn("text", F.when(F.col("__words") < F.col("size"), first).otherwise(F.col("text"))).select(*[rows[c] if c != "text" else F.col("text") for c in docs.columns])
+    return out.withColumn("text", F.when(F.col("__words") < F.col("__size"), first).otherwise(F.col("text"))).select(*docs.columns)
