@@ -6,7 +6,9 @@ point frac(t * phi) (as a 32-bit integer) through the cumulative target shares t
 ranked within each source, and the slot of rank r takes the source's block r. Streams end at their target, which
 is at most twice the source's size, so no row is taken more than twice.
 
-SLOTS bounds the number of scheduled slots and so the rows of one source's ranking; blocks grow with the input.
+SLOTS bounds the number of scheduled slots and so the rows of one source's ranking; blocks grow with the input. The points
+need not meet a small source as often as its target asks, so ranks that the schedule leaves out follow after it:
+every source has a slot for each of its blocks, and all of its target is taken.
 Running positions come from sums over BINS hash bins a source and then within a bin, so no task gets a
 whole source.
 
@@ -84,8 +86,8 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def schedule(plan: DataFrame) -> tuple[DataFrame, int]:
-    """Slots (place, rank, t) and the words of a block. The slots go on past the total, up to twice it, until
-    the least source has some to spare; streams end at their targets."""
+    """Slots (place, rank, t) and the words of a block. The slots go on past the total, up to twice it; ranks that
+    a source still lacks come after them. Streams end at their targets."""
     spark = plan.sparkSession
     total, least = plan.agg(F.max("all_end"), F.min(F.when(F.col("end") > 0, F.col("end")))).first()
     if not total:
@@ -98,7 +100,12 @@ def schedule(plan: DataFrame) -> tuple[DataFrame, int]:
     points = points.withColumn("cell", F.expr(f"x div {width}"))
     arcs = plan.filter("hi > lo").select("place", "lo", "hi", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")).alias("cell"))
     met = points.join(arcs, (points["cell"] == arcs["cell"]) & (points["x"] >= arcs["lo"]) & (points["x"] < arcs["hi"]))
-    return met.select("place", (F.row_number().over(Window.partitionBy("place").orderBy("t")) - 1).cast("bigint").alias("rank"), "t"), block
+    ranked = met.select("place", (F.row_number().over(Window.partitionBy("place").orderBy("t")) - 1).cast("bigint").alias("rank"), "t")
+    had = met.groupBy("place").agg(F.count(F.lit(1)).alias("had"))
+    lacks = plan.filter("end > 0").join(had, "place", "left").select("place", F.coalesce("had", F.lit(0)).alias("had"), F.expr(f"(end + {block} - 1) div {block}").alias("need")).filter("had < need")
+    lacks = lacks.withColumn("before", F.sum(F.col("need") - F.col("had")).over(Window.orderBy("place")) - F.col("need"))
+    rest = lacks.select("place", F.explode(F.expr("sequence(had, need - 1)")).alias("rank"), "before")
+    return ranked.unionByName(rest.select("place", "rank", (F.col("before") + F.col("rank") + slots).alias("t"))), block
 
 
 def laid_out(sizes: DataFrame) -> DataFrame:

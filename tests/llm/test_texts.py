@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 from conftest_llm import EDGES
+from pyspark.sql import functions as F
 
 from segmenta.llm import fertility, langid, mixing, oracles, pieces, secrets, toxicity, wrapper
 
@@ -140,6 +141,22 @@ def test_mixing(spark, docs_of):
     assert sum(len(WORD.findall(r.text or "")) for r in taken.collect()) == sum(e for *_, e in got)
 
 
+@pytest.mark.parametrize(("large", "small"), [(2_499_800_000, 1000), (10_000_000, 10)])
+def test_mixing_small_sources_beside_large(spark, large, small):
+    """Two large sources make blocks of many words; 200 small ones, whose targets are below a block, lose none."""
+    per = 1000
+    big = spark.range(2 * per).selectExpr("id", "id AS uid", "concat('big', id % 2) AS source", f"CAST({large // per} AS BIGINT) AS size")
+    tiny = spark.range(2 * per, 2 * per + 400).selectExpr("id", "id AS uid", "concat('tiny', id % 200) AS source", f"CAST({small // 2} AS BIGINT) AS size")
+    sizes = big.union(tiny).withColumn("key", mixing.shuffle_key(F.col("id"))).localCheckpoint()
+    plan = mixing.targets(sizes).localCheckpoint()
+    slots, block = mixing.schedule(plan)
+    assert block > 2 * small
+    assert slots.count() == slots.select("t").distinct().count() == slots.select("place", "rank").distinct().count()
+    taken = mixing.mix_pieces(sizes, plan).groupBy("uid").agg(F.sum("words").alias("words")).join(sizes, "uid").groupBy("source").agg(F.sum("words").alias("words"))
+    got = {r.source: r.words for r in taken.collect()}
+    assert got == {r.source: r.end for r in plan.collect()} and len(got) == 202
+
+
 def test_pieces(spark, docs_of):
     import sentencepiece
 
