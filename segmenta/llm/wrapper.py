@@ -1,9 +1,9 @@
 """Main text of web pages by wrapper induction.
 
 One page of each host is its pivot. Every page's DOM tree is aligned with its pivot's by simple tree matching (equal
-tags, children in order, most matched nodes). Over all pages of a host Spark counts, for each pivot node,
-how many pages match it and how many carry the same text there. Nodes that nearly all pages share are template;
-the rest are slots, whose text is content.
+tags, children in order, most matched nodes). Over all pages of a host Spark counts, for each pivot node, how many
+distinct page texts carry the pivot's text there, so that copies of a page weigh once. Nodes that nearly all of the
+host's distinct page texts share are template; the rest are slots, whose text is content.
 
 Induction alone cannot tell a menu that differs from page to page from an article, so elements that HTML or their
 names declare as navigation, page headers, footers, asides, adverts, notices, forms or comments are left out first,
@@ -12,7 +12,7 @@ text. Template nodes inside it are dropped.
 
 Pivots are broadcast as long as together they are below BROADCAST_BYTES, which is checked; else they are joined by host.
 
-Defined cases: null html gives an empty text; a host with fewer than SUPPORT matching pages, and a null url's pages, have
+Defined cases: null html gives an empty text; a host with fewer than SUPPORT distinct page texts, and a null url's pages, have
 no template; repeated rows are separate rows; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -318,9 +318,12 @@ def aligned(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     known = saved(aligned(pages))
-    nodes = known.filter("host is not null").select("host", F.explode("blocks").alias("b")).filter("b.node >= 0")
-    counts = nodes.groupBy("host", F.col("b.node").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b.same").cast("int")).alias("same"))
-    template = saved(counts.filter((F.col("n") >= support) & (F.col("same") >= share * F.col("n"))).groupBy("host").agg(F.collect_set("node").alias("template")))
+    said = F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("said")
+    seen = known.filter("host is not null and size(blocks) > 0").select("host", "blocks", said)
+    hosts = seen.groupBy("host").agg(F.countDistinct("said").alias("pages"))
+    nodes = seen.select("host", "said", F.explode("blocks").alias("b")).filter("b.node >= 0 and b.same")
+    counts = nodes.groupBy("host", F.col("b.node").alias("node")).agg(F.countDistinct("said").alias("same")).filter(F.col("same") >= support)
+    template = saved(counts.join(hosts, "host").filter(F.col("same") >= share * F.col("pages")).groupBy("host").agg(F.collect_set("node").alias("template")))
     size = template.agg(F.sum(F.size("template") * 4 + F.length("host") + 64)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         template = F.broadcast(template)

@@ -187,6 +187,26 @@ def test_pages(spark):
     assert wrapper.extract(pages.limit(0)).collect() == []
 
 
+def test_pages_copies_are_no_template(spark):
+    """A lone page of many runs, a host with copies of its pivot's tail, a host of copies, and a true template."""
+    runs = "<article>" + "<hr>".join(f"run {k}" for k in range(12)) + "</article>"
+    tail = [f"tail {k}" for k in range(4)]
+    page = lambda paragraphs: "<article>" + "".join(f"<p>{t}</p>" for t in paragraphs) + "</article>"
+    rows = [(1, "https://lone.example/", runs)]
+    rows += [(100 + k, "https://tails.example/", page(["long", "same", *tail])) for k in range(9)]
+    rows += [(200 + k, "https://tails.example/", page([f"short {k}"])) for k in range(40)]
+    rows += [(300 + k, "https://copies.example/", page(["one", "two"])) for k in range(30)]
+    rows += [(400, "https://copies.example/", page(["other"]))]
+    rows += [(500 + k, "https://shared.example/", page(["press", f"own {k}"])) for k in range(10)]
+    rows += [(600, "https://shared.example/", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    text = {r.page_id: r.text for r in wrapper.extract(pages).collect()}
+    assert text[1] == "\n".join(f"run {k}" for k in range(12))
+    assert all(text[100 + k] == "\n".join(["long", "same", *tail]) for k in range(9))
+    assert all(text[300 + k] == "one\ntwo" for k in range(30))
+    assert all(text[500 + k] == f"own {k}" for k in range(10))
+
+
 def test_network_gradients():
     """Backward against differences of the loss."""
     net = toxicity.Net(1)
