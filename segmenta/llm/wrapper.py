@@ -7,8 +7,8 @@ host's distinct page texts share are template; the rest are slots, whose text is
 
 Induction alone cannot tell a menu that differs from page to page from an article, so elements that HTML or their
 names declare as navigation, page headers, footers, asides, adverts, notices, forms or comments are left out first,
-and where a page has an article (or a main element) its text comes from there; else from the container with most
-text. Template nodes inside it are dropped.
+and where a page has articles or a main element its text comes from all of these in page order; else from the whole
+rest of the page. Template nodes inside are dropped.
 
 Pivots are broadcast as long as together they are below BROADCAST_BYTES, which is checked; else they are joined by host.
 
@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ SHARE = 0.9
 BROADCAST_BYTES = 32 << 20
 #: Pivots are chosen among pages up to this long, if the host has any.
 PIVOT_CHARS = 1 << 16
-#: Child lists whose sizes' product is above this are aligned from both ends instead of by the full table.
+#: Child lists whose sizes' product is above this are aligned by halves, in linear memory, instead of by the full table.
 CELLS = 1 << 16
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -43,6 +44,8 @@ CLOSES_P = BLOCK - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr",
 ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 SILENT = frozenset("head script style title noscript template iframe object svg math canvas audio video button select input textarea datalist".split())
+#: Elements that leave an open head open.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 NAMES = frozenset("nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus related recommended pagination pager search toolbar".split())
@@ -73,7 +76,15 @@ class Dom(HTMLParser):
             self._flush()
         del self.stack[depth:]
 
+    def _close_head(self) -> None:
+        for d, n in enumerate(self.stack):
+            if self.tag[n] == "head":
+                self._pop_to(d)
+                return
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "body" or (self.tag[self.stack[-1]] == "head" and tag not in IN_HEAD):
+            self._close_head()
         if tag in CLOSES_P:
             for d in range(len(self.stack) - 1, 0, -1):
                 t = self.tag[self.stack[d]]
@@ -120,6 +131,8 @@ class Dom(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.tag[self.stack[-1]] == "head" and data.strip():
+            self._close_head()
         if not any(self.tag[n] in SILENT for n in self.stack):
             self.run.append(data)
 
@@ -167,13 +180,7 @@ def _align(a: Shape, b: Shape, xs: list[int], ys: list[int], memo: dict) -> tupl
     if not xs or not ys:
         return 0, []
     if len(xs) * len(ys) > CELLS:
-        head = 0
-        while head < min(len(xs), len(ys)) and a.tag[xs[head]] == b.tag[ys[head]]:
-            head += 1
-        tail = 0
-        while tail < min(len(xs), len(ys)) - head and a.tag[xs[-1 - tail]] == b.tag[ys[-1 - tail]]:
-            tail += 1
-        pairs = [*zip(xs[:head], ys[:head], strict=True), *zip(xs[len(xs) - tail :], ys[len(ys) - tail :], strict=True)]
+        pairs = _align_long(a, b, xs, ys, memo)
         return sum(match_score(a, b, x, y, memo) for x, y in pairs), pairs
     rows = [[0] * (len(ys) + 1)]
     for x in xs:
@@ -194,6 +201,41 @@ def _align(a: Shape, b: Shape, xs: list[int], ys: list[int], memo: dict) -> tupl
     return rows[-1][-1], pairs[::-1]
 
 
+def _align_long(a: Shape, b: Shape, xs: list[int], ys: list[int], memo: dict) -> list[tuple[int, int]]:
+    """Pairs of a best matching. Equal subtrees at both ends match in some best one; the rest is halved where the
+    best scores of the first half of xs and of the second add up to most (Hirschberg)."""
+    least = min(len(xs), len(ys))
+    head = tail = 0
+    while head < least and a.key[xs[head]] == b.key[ys[head]]:
+        head += 1
+    while tail < least - head and a.key[xs[-1 - tail]] == b.key[ys[-1 - tail]]:
+        tail += 1
+    first, last = list(zip(xs[:head], ys[:head], strict=True)), list(zip(xs[len(xs) - tail :], ys[len(ys) - tail :], strict=True))
+    xs, ys = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
+    if len(xs) * len(ys) <= CELLS:
+        return first + _align(a, b, xs, ys, memo)[1] + last
+    if len(xs) == 1:
+        score = [match_score(a, b, xs[0], y, memo) for y in ys]
+        at = score.index(max(score))
+        return first + ([(xs[0], ys[at])] if score[at] else []) + last
+    half = len(xs) // 2
+    cut = int(np.argmax(_best_scores(a, b, xs[:half], ys, memo) + _best_scores(a, b, xs[:half - 1 : -1], ys[::-1], memo)[::-1]))
+    return first + _align_long(a, b, xs[:half], ys[:cut], memo) + _align_long(a, b, xs[half:], ys[cut:], memo) + last
+
+
+def _best_scores(a: Shape, b: Shape, xs: list[int], ys: list[int], memo: dict) -> np.ndarray:
+    """The best score of xs with each beginning of ys. Subtrees of one shape score alike."""
+    _, first, of = np.unique(np.array([b.key[y] for y in ys], np.int64), return_index=True, return_inverse=True)
+    shapes = [ys[i] for i in first.tolist()]
+    scores: dict[int, np.ndarray] = {}
+    best = np.zeros(len(ys) + 1, np.int64)
+    for x in xs:
+        if (score := scores.get(a.key[x])) is None:
+            scores[a.key[x]] = score = np.array([match_score(a, b, x, y, memo) for y in shapes], np.int64)
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + score[of]))
+    return best
+
+
 def matched(a: Shape, b: Shape) -> dict[int, int]:
     """Nodes of a to nodes of b."""
     memo: dict = {}
@@ -209,7 +251,7 @@ def matched(a: Shape, b: Shape) -> dict[int, int]:
 
 
 def content_blocks(dom: Dom) -> list[tuple[int, str]]:
-    """Blocks of the main container outside of declared boilerplate."""
+    """Blocks outside of declared boilerplate: those in an article or main element, if the page has such; else all."""
     n = len(dom.tag)
     inside, holds = [False] * n, [False] * n
     for k in range(1, n):
@@ -223,32 +265,10 @@ def content_blocks(dom: Dom) -> list[tuple[int, str]]:
         named = bool(dom.names[k] & NAMES) or dom.role[k] in ROLES
         out[k] = out[dom.parent[k]] or t in BOILERPLATE or (t == "header" and not inside[k]) or (named and t not in ("html", "body", "main") and not (holds[k] and "comment" not in dom.names[k] and "comments" not in dom.names[k]))
     kept = [(k, t) for k, t in dom.blocks if not out[k]]
-    best = main_container(dom, kept)
-    under = [False] * n
-    for k in range(n):
-        under[k] = k == best or (k > 0 and under[dom.parent[k]])
-    return [(k, t) for k, t in kept if under[k]]
-
-
-def main_container(dom: Dom, kept: list[tuple[int, str]]) -> int:
-    """The article (else main element) with most text, else the node whose own and whose children's blocks have most."""
-    mass: dict[int, int] = {}
-    near: dict[int, int] = {}
-    for k, t in kept:
-        up = k
-        while up >= 0:
-            mass[up] = mass.get(up, 0) + len(t)
-            up = dom.parent[up]
-        own = k if dom.tag[k] in ("div", "section", "td", "body", "#") else max(dom.parent[k], 0)
-        while dom.tag[own] in ("ul", "ol", "dl", "blockquote", "table", "tbody", "tr", "figure") and own:
-            own = dom.parent[own]
-        near[own] = near.get(own, 0) + len(t)
-    for tag in ("article", "main"):
-        if found := [k for k in mass if dom.tag[k] == tag]:
-            return max(found, key=lambda k: (mass[k], -k))
-    if found := [k for k in mass if dom.role[k] == "main"]:
-        return max(found, key=lambda k: (mass[k], -k))
-    return max(near, key=lambda k: (near[k], -k)) if near else 0
+    main = [False] * n
+    for k in range(1, n):
+        main[k] = main[dom.parent[k]] or dom.tag[k] in ("article", "main") or dom.role[k] == "main"
+    return [(k, t) for k, t in kept if main[k]] or kept
 
 
 def pivot_of(html: str) -> bytes:

@@ -207,6 +207,38 @@ def test_pages_copies_are_no_template(spark):
     assert all(text[500 + k] == f"own {k}" for k in range(10))
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<body><div><p>one</p></div><section><p>a longer second part</p></section><table><tr><td>three</table>", "one\na longer second part\nthree"),
+        ("<body><p>out</p><article><p>one</p></article><p>out</p><article><p>a longer two</p></article>", "one\na longer two"),
+        ("<main><h1>Title</h1><p>lead</p><article><p>story</p></article></main>", "Title\nlead\nstory"),
+        ("<html><head><title>t</title><meta charset=utf-8><body><p>text</p>", "text"),
+        ("<html><head><title>t</title><p>text</p>", "text"),
+        ("<head><title>t</title>text", "text"),
+    ],
+)
+def test_pages_keep_all_containers(html, text):
+    assert "\n".join(t for _, t in wrapper.content_blocks(wrapper.Dom(html))) == text
+
+
+def test_long_child_lists_align_best(monkeypatch):
+    rng = random.Random(8)
+    parts = ["<p>x</p>", "<div><p>x</p></div>", "<div><p>x</p><ul><li>y</ul></div>", "<h2>z</h2>", "<hr>"]
+
+    def shape(n):
+        dom = wrapper.Dom("<body>" + "".join(rng.choices(parts, k=n)))
+        return wrapper.Shape(dom.tag, dom.parent)
+
+    pairs = [(shape(rng.randrange(1, 60)), shape(rng.randrange(1, 60))) for _ in range(30)]
+    want = [wrapper.match_score(a, b, 0, 0, {}) for a, b in pairs]
+    monkeypatch.setattr(wrapper, "CELLS", 6)
+    assert [wrapper.match_score(a, b, 0, 0, {}) for a, b in pairs] == want
+    for (a, b), score in zip(pairs, want, strict=True):
+        to = wrapper.matched(a, b)
+        assert len(to) == score == len(set(to.values())) and all(a.tag[x] == b.tag[y] for x, y in to.items())
+
+
 def test_network_gradients():
     """Backward against differences of the loss."""
     net = toxicity.Net(1)
