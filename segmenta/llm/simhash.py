@@ -89,9 +89,11 @@ class Forest:
             return
         k = np.minimum(np.searchsorted(self.groups, group), len(self.groups) - 1)
         all_q = np.flatnonzero(self.groups[k] == group)
+        if not all_q.size:
+            return
         k = k[all_q]
         portion = np.cumsum(self.sizes[k]) // VISITS
-        cuts = np.flatnonzero(np.r_[True, portion[1:] != portion[:-1]]) if len(portion) else []
+        cuts = np.flatnonzero(np.r_[True, portion[1:] != portion[:-1]])
         for i, j in zip(cuts, [*cuts[1:], len(all_q)], strict=True):
             q, node = all_q[i:j], self.roots[k[i:j]]
             while q.size:

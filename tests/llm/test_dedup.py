@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from conftest_llm import EDGES, LOWER
 
@@ -98,6 +99,15 @@ def test_links_connect_what_is_near(spark, shard):
     assert groups(lambda p: root.get(signed(p), signed(p))) == groups(lambda p: label[p])
 
 
+def test_linker_stops_after_a_flush(monkeypatch):
+    """A flush keeps a large shard's members, and no row follows."""
+    monkeypatch.setattr(simhash, "GATHER", 4)
+    columns = [pa.array([7] * 5, pa.int64()), pa.array([0] * 5, pa.int32()), pa.array([0, 1, 1 << 40, 255, 3], pa.int64()), pa.array([True, True, True, True, False])]
+    batch = pa.RecordBatch.from_arrays(columns, ["key", "shard", "fp", "member"])
+    got = [tuple(e.values()) for out in simhash._linker(1)(iter([batch])) for e in out.to_pylist()]
+    assert got and {n for e in got for n in e} == {0, 1, 1 << 40, 3}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
