@@ -13,7 +13,7 @@ import pytest
 from conftest_llm import EDGES
 from pyspark.sql import functions as F
 
-from segmenta.llm import fertility, langid, mixing, oracles, pieces, secrets, toxicity, wrapper
+from segmenta.llm import fertility, langid, mixing, oracles, pieces, secrets, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -173,72 +173,6 @@ def test_pieces(spark, docs_of):
     assert all(r.text == r.back for r in texts)
 
 
-def test_pages(spark):
-    page = "<html><body><nav><a>Home</a></nav><div class='wrap'><p>Printed by the same press</p><article><h1>Title {0}</h1><p>Body &amp; text  of {0}</p></article></div><footer>end</footer><script>x()</script></body></html>"
-    rows = [(k, f"https://a.example/{k}", page.format(k), "x") for k in range(12)]
-    rows += [(100, "https://a.example/n", None, "x"), (101, None, "<p>alone</p>", "x"), (102, "https://b.example", "", "x"), (103, "https://b.example", "<p>one<p>two<b>x</b></p>", "x")]
-    pages = spark.createDataFrame([*rows, rows[0]], "page_id bigint, url string, html string, text string")
-    got = wrapper.extract(pages).collect()
-    text = {r.page_id: r.text for r in got}
-    assert len(got) == len(rows) + 1
-    assert all(text[k] == f"Title {k}\nBody & text of {k}" for k in range(12))
-    assert (text[100], text[101], text[102], text[103]) == ("", "alone", "", "one\ntwox")
-    assert all(r.n_chars == len(r.text) for r in got)
-    assert wrapper.extract(pages.limit(0)).collect() == []
-
-
-def test_pages_copies_are_no_template(spark):
-    """A lone page of many runs, a host with copies of its pivot's tail, a host of copies, and a true template."""
-    runs = "<article>" + "<hr>".join(f"run {k}" for k in range(12)) + "</article>"
-    tail = [f"tail {k}" for k in range(4)]
-    page = lambda paragraphs: "<article>" + "".join(f"<p>{t}</p>" for t in paragraphs) + "</article>"
-    rows = [(1, "https://lone.example/", runs)]
-    rows += [(100 + k, "https://tails.example/", page(["long", "same", *tail])) for k in range(9)]
-    rows += [(200 + k, "https://tails.example/", page([f"short {k}"])) for k in range(40)]
-    rows += [(300 + k, "https://copies.example/", page(["one", "two"])) for k in range(30)]
-    rows += [(400, "https://copies.example/", page(["other"]))]
-    rows += [(500 + k, "https://shared.example/", page(["press", f"own {k}"])) for k in range(10)]
-    rows += [(600, "https://shared.example/", None)]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    text = {r.page_id: r.text for r in wrapper.extract(pages).collect()}
-    assert text[1] == "\n".join(f"run {k}" for k in range(12))
-    assert all(text[100 + k] == "\n".join(["long", "same", *tail]) for k in range(9))
-    assert all(text[300 + k] == "one\ntwo" for k in range(30))
-    assert all(text[500 + k] == f"own {k}" for k in range(10))
-
-
-@pytest.mark.parametrize(
-    ("html", "text"),
-    [
-        ("<body><div><p>one</p></div><section><p>a longer second part</p></section><table><tr><td>three</table>", "one\na longer second part\nthree"),
-        ("<body><p>out</p><article><p>one</p></article><p>out</p><article><p>a longer two</p></article>", "one\na longer two"),
-        ("<main><h1>Title</h1><p>lead</p><article><p>story</p></article></main>", "Title\nlead\nstory"),
-        ("<html><head><title>t</title><meta charset=utf-8><body><p>text</p>", "text"),
-        ("<html><head><title>t</title><p>text</p>", "text"),
-        ("<head><title>t</title>text", "text"),
-    ],
-)
-def test_pages_keep_all_containers(html, text):
-    assert "\n".join(t for _, t in wrapper.content_blocks(wrapper.Dom(html))) == text
-
-
-def test_long_child_lists_align_best(monkeypatch):
-    rng = random.Random(8)
-    parts = ["<p>x</p>", "<div><p>x</p></div>", "<div><p>x</p><ul><li>y</ul></div>", "<h2>z</h2>", "<hr>"]
-
-    def shape(n):
-        dom = wrapper.Dom("<body>" + "".join(rng.choices(parts, k=n)))
-        return wrapper.Shape(dom.tag, dom.parent)
-
-    pairs = [(shape(rng.randrange(1, 60)), shape(rng.randrange(1, 60))) for _ in range(30)]
-    want = [wrapper.match_score(a, b, 0, 0, {}) for a, b in pairs]
-    monkeypatch.setattr(wrapper, "CELLS", 6)
-    assert [wrapper.match_score(a, b, 0, 0, {}) for a, b in pairs] == want
-    for (a, b), score in zip(pairs, want, strict=True):
-        to = wrapper.matched(a, b)
-        assert len(to) == score == len(set(to.values())) and all(a.tag[x] == b.tag[y] for x, y in to.items())
-
-
 def test_network_gradients():
     """Backward against differences of the loss."""
     net = toxicity.Net(1)
