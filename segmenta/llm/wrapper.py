@@ -6,7 +6,7 @@ that node; any other by its own path and its place among such nodes. Spark then
 another page. Nodes whose text recurs on most pages of the host are template, whether it is one text or some that
 rotate; nodes whose text varies are slots, and slots are content. The name of the host within a text is a variable.
 
-Copies say nothing about templates: pages are told apart by the least hash of their GRAM-word shingles, which near copies
+Texts do not recur between copies: pages are told apart by the least hash of their GRAM-word shingles, which near copies
 mostly share. Hosts of few pages borrow from all others: a path counts as PRIOR more pages, of which its texts recur
 as often as they do at that path anywhere. A page that is alone on its host is so cut by what all hosts show.
 
@@ -389,7 +389,7 @@ def aligned(pages: DataFrame) -> DataFrame:
 
 def templates(known: DataFrame, prior: int = PRIOR, share: float = SHARE) -> DataFrame:
     """host (its hash) and template, the keys of its template nodes."""
-    seen = known.select(F.xxhash64("host").alias("host"), "said", F.explode("nodes").alias("n")).select("host", "said", "n.*").distinct()
+    seen = known.select(F.xxhash64("host").alias("host"), "said", F.explode("nodes").alias("n")).select("host", "said", "n.*")
     each = seen.groupBy("path", "text", "host", "key").agg(F.count(F.lit(1)).alias("pages"), F.min("said").alias("low"), F.max("said").alias("high"))
     again = each.groupBy("path", "text").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("path", "text", F.lit(True).alias("recurs"))
     told = each.select("path", "text", "host", "key", "pages").join(again, ["path", "text"], "left")
