@@ -1,40 +1,52 @@
-"""Quality rules: plain word rules, and the fertility of a text under a public tokenizer vocabulary.
-
-The vocabulary (a SentencePiece model file, a parameter) is read on the driver and broadcast: it is of fixed size.
-Each whole text is tokenised; characters per token, the share of byte-fallback tokens (white-space bytes apart) and the
-entropy of its tokens, relative to the most that its number of tokens allows, must lie within the bands of
-its main script.
-
-Defined cases: a null or blank text has no words and fails the base rules; texts with fewer than LEAST_TOKENS tokens
-are not judged by entropy; an empty table gives an empty table; other columns are ignored.
+"""Quality rules: plain word rules, and the fertility of a text under public tokenizer vocabularies.
+
+The vocabularies (files, a parameter) are read on the driver and broadcast: they are of fixed size. Each whole text is
+tokenised with each; characters per token, the share of byte-fallback tokens (white space apart) and the evenness of its
+tokens (their entropy over the most that as many distinct tokens allow, so that it does not fall with length) are
+measured. Bands are fitted to all documents that pass the base rules: for each language, and for each main script for
+texts without a language or whose language has under LEAST_GROUP documents, the median of a measure and on either side
+SPREAD times the distance from it to the decile, as a normal spread. Texts of few tokens scatter more, so the distance
+grows as their number falls below the group's median. Too many or too few characters per token, too large a fallback
+share or too little evenness reject a text; the column `reasons` tells which, under which vocabulary.
+
+Defined cases: a null or blank text has no words and fails the base rules; groups under LEAST_GROUP documents have no
+bands and reject nothing; repeated rows are separate rows; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import os
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import small_batches
-
-VOCABULARY = os.environ.get("TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
+from segmenta.llm.common import saved, small_batches
+
+TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
+#: SentencePiece models and tiktoken rank files.
+VOCABULARIES = (f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
+#: How rank files cut words: the pattern that belongs to them.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPREAD = 6.0
+LEAST_GROUP = 64
+#: Least spread of log characters per token, fallback share and evenness: what rounding and chance alone give.
+LEAST_SPREAD = (0.02, 0.005, 0.02)
+#: Groups up to which bands are broadcast.
+FEW_GROUPS = 10_000
+MEASURES = ("chars", "fallback", "evenness")
 # Fixed values of the contract's base rules.
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
-LEAST_TOKENS = 64
 #: First code points of ranges and the script that they belong to; None: none, like digits and punctuation.
 RANGES = [(0, None), (0x41, "Latin"), (0x5B, None), (0x61, "Latin"), (0x7B, None), (0xC0, "Latin"), (0x250, None), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x700, None), (0x900, "Indic"), (0xE00, "Thai"), (0xE80, None), (0x1100, "Hangul"), (0x1200, None), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, None), (0x3040, "Kana"), (0x3100, "Han"), (0xA000, None), (0xAC00, "Hangul"), (0xD7A4, None), (0xF900, "Han"), (0xFB00, None), (0x20000, "Han"), (0x32000, None)]
-#: By script: least and most characters per token, most byte-fallback share, least relative entropy.
-BANDS = {"Latin": (1.2, 12.0, 0.25, 0.35), "Cyrillic": (1.0, 12.0, 0.4, 0.35), "Greek": (0.6, 12.0, 0.7, 0.3), "Han": (0.3, 4.0, 0.9, 0.3), "Kana": (0.3, 4.0, 0.9, 0.3), "Hangul": (0.3, 4.0, 1.0, 0.3)}
-OTHER = (0.2, 12.0, 1.0, 0.25)
-
 _STARTS = np.array([r[0] for r in RANGES])
 _SCRIPTS = sorted({r[1] for r in RANGES if r[1]})
 _OF = np.array([_SCRIPTS.index(r[1]) if r[1] else len(_SCRIPTS) for r in RANGES])
@@ -82,45 +94,109 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def fertility(text: str, ids: list[int], fallback: np.ndarray) -> tuple[float, float, float]:
-    """Characters per token, byte-fallback share, relative token entropy."""
+class Vocabulary:
+    """A tokenizer of either kind, and which of its tokens are pieces of characters."""
+
+    def __init__(self, name: str, data: bytes):
+        if name.endswith(".model"):
+            import sentencepiece
+
+            own = sentencepiece.SentencePieceProcessor(model_proto=data)
+            spaces = {f"<0x{ord(c):02X}>" for c in SPACES}
+            self.fallback = np.array([own.is_byte(i) and own.id_to_piece(i) not in spaces for i in range(own.get_piece_size())])
+            self.encode = lambda text: own.encode(text, num_threads=1)
+        else:
+            import tiktoken
+
+            ranks = {base64.b64decode(w): int(i) for w, i in (line.split() for line in data.splitlines() if line.strip())}
+            self.fallback = np.zeros(max(ranks.values()) + 1, bool)
+            self.fallback[[i for w, i in ranks.items() if "\ufffd" in w.decode("utf-8", "replace")]] = True
+            self.encode = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def fertility(text: str, ids: list[int], fallback: np.ndarray) -> tuple[int, float, float, float]:
+    """Tokens, characters per token, byte-fallback share, evenness (0 for a single distinct token)."""
     if not ids:
-        return 0.0, 0.0, 0.0
-    _, n = np.unique(np.array(ids), return_counts=True)
+        return 0, 0.0, 0.0, 0.0
+    at = np.array(ids)
+    _, n = np.unique(at, return_counts=True)
     p = n / n.sum()
-    most = np.log2(len(ids)) if len(ids) > 1 else 1.0
-    return len(text) / len(ids), float(fallback[ids].mean()), float(-(p * np.log2(p)).sum() / most)
+    even = -(p * np.log2(p)).sum() / np.log2(len(n)) if len(n) > 1 else 0.0
+    return len(ids), len(text) / len(ids), float(fallback[at].mean()), float(even)
 
 
-def within_bands(text: str, n_tokens: int, chars: float, share: float, entropy: float) -> bool:
-    low, high, most, least = BANDS.get(main_script(text) or "", OTHER)
-    return low <= chars <= high and share <= most and (n_tokens < LEAST_TOKENS or entropy >= least)
+_vocabularies: dict[str, list[Vocabulary]] = {}
+MEASURED = "id bigint, lang string, script string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, fertility array<struct<tokens:bigint, chars:double, fallback:double, evenness:double>>"
 
 
-def quality(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, base counts and verdict, and the fertility figures of every row."""
+def measured(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """id, lang, script, base counts and fertility under each vocabulary of every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    with open(vocabulary, "rb") as f:
-        model = spark.sparkContext.broadcast(f.read())
+    files = []
+    for path in vocabularies:
+        with open(path, "rb") as f:
+            files.append((os.path.basename(path), f.read()))
+    name = hashlib.sha256(b"".join(data for _, data in files)).hexdigest()
+    shared = spark.sparkContext.broadcast(files)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_proto=model.value)
-        spaces = {f"<0x{ord(c):02X}>" for c in SPACES}
-        fallback = np.array([sp.is_byte(i) and sp.id_to_piece(i) not in spaces for i in range(sp.get_piece_size())])
+        if name not in _vocabularies:  # once for each worker
+            _vocabularies[name] = [Vocabulary(*f) for f in shared.value]
         for b in batches:
             rows = []
-            for i, t in zip(b["id"], b["text"], strict=True):
+            for i, lang, t in zip(b["id"], b["lang"], b["text"], strict=True):
                 t = t or ""
                 n, chars, symbols, dup, repeat = base_counts(t)
                 failed = n < LEAST_WORDS or 100 * repeat > MOST_REPEATED * n
-                ids = sp.encode(t, num_threads=1)
-                cpt, share, entropy = fertility(t, ids, fallback)
-                rows.append((i, n, chars, symbols, dup, repeat, failed, not failed and within_bands(t, len(ids), cpt, share, entropy), cpt, share, entropy))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"id": "Int64"})
-
-    schema = "id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, chars_per_token double, fallback_share double, entropy double"
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+                found = [fertility(t, v.encode(t), v.fallback) for v in _vocabularies[name]]
+                rows.append((i, lang, main_script(t), n, chars, symbols, dup, repeat, failed, [dict(zip(("tokens", *MEASURES), x, strict=True)) for x in found]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MEASURED.split(", ")[:9]] + ["fertility"]).astype({"id": "Int64"})
+
+    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), lang.alias("lang"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, MEASURED)
+
+
+def _measure(v: int, m: str) -> Column:
+    x = F.col("fertility")[v][m]
+    return F.round(F.log(F.greatest(x, F.lit(0.01))) if m == "chars" else x, 3)
+
+
+def bands(known: DataFrame, vocabularies: int) -> DataFrame:
+    """group, and for each vocabulary v and measure m the deciles and median m_v, and tokens_v, the median of log2 of the
+    tokens. Values are rounded, so that a group's counts take bounded memory."""
+    keys = F.array(F.concat(F.lit("lang:"), F.col("lang")), F.concat(F.lit("script:"), F.coalesce("script", F.lit(""))))
+    rows = known.filter("not base_failed").withColumn("group", F.explode(F.filter(keys, lambda k: k.isNotNull())))
+    aggs = [F.percentile(_measure(v, m), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias(f"{m}_{v}") for v in range(vocabularies) for m in MEASURES]
+    aggs += [F.percentile(F.round(F.log2(F.greatest(F.col("fertility")[v]["tokens"], F.lit(1))), 1), F.lit(0.5)).alias(f"tokens_{v}") for v in range(vocabularies)]
+    return rows.groupBy("group").agg(F.count(F.lit(1)).alias("documents"), *aggs).filter(F.col("documents") >= LEAST_GROUP).drop("documents")
+
+
+def _reasons(names: list[str], spread: float) -> Column:
+    """Names of the measures out of their bands, comma-joined."""
+    told = []
+    for v, name in enumerate(names):
+        tokens = F.greatest(F.col("fertility")[v]["tokens"], F.lit(1))
+        wide = F.sqrt((1 + F.pow(F.lit(2.0), F.col(f"tokens_{v}")) / tokens) / 2) * spread / 1.2816  # deciles of a normal lie at 1.2816
+        for m, least in zip(MEASURES, LEAST_SPREAD, strict=True):
+            at, x = F.col(f"{m}_{v}"), _measure(v, m)
+            side = lambda d, least=least: F.greatest(d, F.lit(least * 1.2816)) * wide  # noqa: B023, E731
+            low, high = x < at[1] - side(at[1] - at[0]), x > at[1] + side(at[2] - at[1])
+            out = low | high if m == "chars" else high if m == "fallback" else low
+            told.append(F.when(out, F.lit(f"{m}:{name}")))
+    return F.concat_ws(",", *told)
+
+
+def quality(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", spread: float = SPREAD) -> DataFrame:
+    """The id, base counts and verdict, and the fertility figures of every row."""
+    known = saved(measured(docs, vocabularies, id_col, text_col, lang_col))
+    found = saved(bands(known, len(vocabularies)))
+    few = F.broadcast if found.count() <= FEW_GROUPS else lambda df: df
+    sides = {k: found.select(F.col("group").alias(f"{k}_group"), *[F.col(c).alias(f"{k}_{c}") for c in found.columns[1:]]) for k in ("lang", "script")}
+    rows = known.join(few(sides["lang"]), F.concat(F.lit("lang:"), F.col("lang")) == F.col("lang_group"), "left")
+    rows = rows.join(few(sides["script"]), F.concat(F.lit("script:"), F.coalesce("script", F.lit(""))) == F.col("script_group"), "left")
+    rows = rows.select(*known.columns, *[F.coalesce(f"lang_{c}", f"script_{c}").alias(c) for c in found.columns[1:]])
+    names = [os.path.basename(p).split(".")[0] for p in vocabularies]
+    rows = rows.withColumn("reasons", F.when(F.col("base_failed"), F.lit("base")).otherwise(_reasons(names, spread)))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return rows.select(F.col("id").alias(id_col), *counts, (F.col("reasons") == "").alias("kept"), "reasons", "fertility")

@@ -41,6 +41,8 @@ PRIOR = 8
 SHARE = 0.5
 GRAM = 4
 BROADCAST_BYTES = 32 << 20
+#: What a recurring text takes in a broadcast table: two hashes and its place there.
+RECURRING_BYTES = 64
 #: Copies of each host's template in the join that replaces a broadcast, so that a large host is dealt to as many tasks.
 SALTS = 16
 #: Pivots are chosen among pages up to this long, if the host has any.
@@ -390,10 +392,12 @@ def aligned(pages: DataFrame) -> DataFrame:
 def templates(known: DataFrame, prior: int = PRIOR, share: float = SHARE) -> DataFrame:
     """host (its hash) and template, the keys of its template nodes."""
     seen = known.select(F.xxhash64("host").alias("host"), "said", F.explode("nodes").alias("n")).select("host", "said", "n.*")
-    each = seen.groupBy("path", "text", "host", "key").agg(F.count(F.lit(1)).alias("pages"), F.min("said").alias("low"), F.max("said").alias("high"))
-    again = each.groupBy("path", "text").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("path", "text", F.lit(True).alias("recurs"))
-    told = each.select("path", "text", "host", "key", "pages").join(again, ["path", "text"], "left")
-    nodes = told.groupBy("host", "key").agg(F.min("path").alias("path"), F.sum("pages").alias("pages"), F.sum(F.when(F.col("recurs"), F.col("pages")).otherwise(0)).alias("recurring"))
+    again = seen.groupBy("path", "text").agg(F.min("said").alias("low"), F.max("said").alias("high")).filter("low <> high")
+    again = saved(again.select("path", "text", F.lit(1).alias("recurs")))
+    if again.count() * RECURRING_BYTES <= BROADCAST_BYTES:
+        again = F.broadcast(again)
+    told = seen.select("path", "text", "host", "key").join(again, ["path", "text"], "left")
+    nodes = told.groupBy("host", "key").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("pages"), F.count("recurs").alias("recurring"))
     paths = nodes.groupBy("path").agg((F.sum("recurring") / F.sum("pages")).alias("rate"))
     share_of = (F.col("recurring") + prior * F.col("rate")) / (F.col("pages") + prior)
     return nodes.join(paths, "path").filter(share_of >= share).groupBy("host").agg(F.collect_set("key").alias("template"))

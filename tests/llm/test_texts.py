@@ -11,7 +11,7 @@ import pytest
 from conftest_llm import EDGES
 from pyspark.sql import functions as F
 
-from segmenta.llm import fertility, langid, mixing, oracles, pieces, toxicity
+from segmenta.llm import langid, mixing, oracles, pieces, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,33 +57,6 @@ def test_language(spark, docs_of):
     assert kept.columns == docs.columns and kept.filter("doc_id >= 100").count() == 150
 
 
-def brute_base(text):
-    words = WORD.findall(text)
-    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
-    cover = {k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(i, i + 5)}
-    lines = [x for x in text.split("\n") if WORD.search(x)]
-    return len(words), sum(map(len, words)), sum(map(text.count, "#*$%&|<>")), len(lines) - len(set(lines)), len(cover)
-
-
-def test_quality(spark, docs_of):
-    rng = random.Random(4)
-    texts = ["".join(rng.choices(["a ", "b ", "c\n", "#", "\x1c", " ", "ü ", "\r"], k=rng.randrange(80))) for _ in range(80)]
-    rows = EDGES + [(100 + k, t) for k, t in enumerate(texts)]
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    got = fertility.quality(docs_of(rows)).collect()
-    seen = Counter((r.doc_id, *(r[n] for n in names), r.base_failed) for r in got)
-    want = Counter()
-    for i, t, *_ in rows:
-        b = brute_base(t or "")
-        want[i, *b, b[0] < 10 or 100 * b[-1] > 20 * b[0]] += 1
-    assert seen == want
-    assert not any(r.kept for r in got if r.base_failed)
-    prose = "Every plain paragraph of readable prose should pass this rule, since it has ordinary words and no long repeats."
-    noise = "".join(chr(0x10000 + k * 7 % 5000) + (" " if k % 9 == 0 else "") for k in range(400))
-    verdict = {r.doc_id: r.kept for r in fertility.quality(docs_of([(1, prose), (2, "A" + noise)])).collect()}
-    assert verdict[1] and fertility.quality(docs_of([])).collect() == []
-
-
 def test_mixing(spark, docs_of):
     rng = random.Random(5)
     rows = EDGES + [(100 + k, "w " * rng.randrange(60), "en", rng.choice(["a", "b", "c", "d", None])) for k in range(300)]
