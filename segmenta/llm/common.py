@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +17,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where that setting is absent (tests, a laptop) a temporary
-    folder stands in."""
+    """The folder that spark.checkpoint.dir names. There is no fallback: a machine's own folder is lost with it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -33,6 +33,27 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_name(docs: DataFrame, wanted: str) -> str:
+    """A column name that docs does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def numbered(docs: DataFrame, stored: bool) -> tuple[DataFrame, str]:
+    """docs with a row number, and that column's name. stored: docs is a plain read of stored files, whose rows come out
+    with the same numbers each time; any other plan is saved first, as it need not give its rows in the same order."""
+    name = free_name(docs, "__uid")
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    return (rows if stored else saved(rows)), name
+
+
+def small(saved_df: DataFrame, most: int) -> DataFrame:
+    """A saved table, marked for broadcast if it has at most `most` rows."""
+    return F.broadcast(saved_df) if saved_df.count() <= most else saved_df
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves remainder 1 by 3; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -5,6 +5,7 @@ import re
 import pyarrow as pa
 import pytest
 from conftest_llm import EDGES, LOWER
+from pyspark.sql import functions as F
 
 from segmenta.llm import exact_dedup, line_dedup, simhash
 
@@ -72,12 +73,13 @@ def test_simhash_edges(spark, docs_of):
     assert sorted(str(tuple(r)) for r in got) == want
     assert simhash.near_duplicates(docs_of([])).collect() == []
     kept = simhash.one_of_each(docs_of(EDGES))
-    assert kept.columns == docs_of(EDGES).columns and kept.count() == len(set(first))
+    assert kept.columns == docs_of(EDGES).columns and kept.count() == len({" ".join((t or "").translate(LOWER).split()) for _, t, *_ in EDGES})
+    assert simhash.one_of_each(docs_of([])).collect() == []
 
 
 @pytest.mark.parametrize("shard", [4096, 50])
 def test_links_connect_what_is_near(spark, shard):
-    """A dense cluster, a chain and strangers; small shards force several trees a shard."""
+    """A dense cluster, a chain and strangers; small shards force several trees a shard, and pivots."""
     rng = random.Random(2)
     base = rng.getrandbits(64)
     prints = {rng.getrandbits(64) for _ in range(300)}
@@ -92,18 +94,64 @@ def test_links_connect_what_is_near(spark, shard):
             x ^= 1 << b
         prints.add(x)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
-    df = spark.createDataFrame([(signed(p),) for p in prints], "fp bigint")
+    df = spark.createDataFrame([(signed(p), [signed(p)]) for p in prints], "node bigint, fp array<bigint>").withColumn("keys", F.expr(simhash.block_keys(4)))
     root = {r.node: r.root for r in simhash.components(simhash.links(df, shard=shard)).collect()}
     label = brute_components(sorted(prints))
     groups = lambda of: {frozenset(p for p in prints if of(p) == c) for c in {of(p) for p in prints}}
     assert groups(lambda p: root.get(signed(p), signed(p))) == groups(lambda p: label[p])
 
 
+def test_large_groups_meet_their_pivots_only(spark):
+    """Two near groups that make one shard: rows searched grow with the group, not with its square, and both are whole."""
+    rng = random.Random(5)
+    prints = []
+    for base in (0, (1 << 40) - 1):
+        prints += [base ^ sum(1 << b for b in rng.sample(range(20, 36), rng.randrange(3))) for _ in range(900)]
+    prints = sorted(set(prints))
+    df = spark.createDataFrame([(p, [p]) for p in prints], "node bigint, fp array<bigint>").withColumn("keys", F.array(F.lit(1).cast("bigint")))
+    root = {r.node: r.root for r in simhash.components(simhash.links(df, shard=40)).collect()}
+    label = brute_components(prints)
+    assert {p: root.get(p, p) for p in prints} == label and len(set(label.values())) == 2
+
+
+def test_similar_texts(spark, docs_of):
+    """Pairs of known similarity of 5-word shingles: most of 0.8 and nearly all of 0.9 are linked, few of 0.6 are; a large
+    group of near copies leaves one document, and columns that clash stay as they are."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    rows, true, i = [], {}, 1000
+    for share in (0.6, 0.8, 0.86, 0.93):
+        for _ in range(120):
+            a = [word() for _ in range(300)]
+            b = list(a)
+            while similarity(a, b) > share:
+                b[rng.randrange(300)] = word()
+            rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+            true[i + 1] = share
+            i += 2
+    base = [word() for _ in range(300)]
+    rows += [(100_000 + k, " ".join([*base[: k % 300], word(), *base[k % 300 :]])) for k in range(1500)]
+    docs = docs_of(rows)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    gone = {share: sum(t == share and k not in ids for k, t in true.items()) / 120 for share in (0.6, 0.8, 0.86, 0.93)}
+    assert gone[0.6] <= 0.05 and gone[0.8] >= 0.4 and gone[0.86] >= 0.8 and gone[0.93] >= 0.95, gone
+    assert [k for k in ids if k >= 100_000] == [100_000]
+    assert all(k in ids for k in range(1000, i, 2))
+
+
+def similarity(a, b, n=5):
+    x, y = ({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
 def test_linker_stops_after_a_flush(monkeypatch):
     """A flush keeps a large shard's members, and no row follows."""
     monkeypatch.setattr(simhash, "GATHER", 4)
-    columns = [pa.array([7] * 5, pa.int64()), pa.array([0] * 5, pa.int32()), pa.array([0, 1, 1 << 40, 255, 3], pa.int64()), pa.array([True, True, True, True, False])]
-    batch = pa.RecordBatch.from_arrays(columns, ["key", "shard", "fp", "member"])
+    fps = pa.array([0, 1, 1 << 40, 255, 3], pa.int64())
+    columns = [pa.array([7] * 5, pa.int64()), pa.array([0] * 5, pa.int32()), fps, pa.array([[x] for x in fps.to_pylist()], pa.list_(pa.int64())), pa.array([True, True, True, True, False]), pa.array([True] * 5)]
+    batch = pa.RecordBatch.from_arrays(columns, ["key", "shard", "node", "fp", "member", "asks"])
     got = [tuple(e.values()) for out in simhash._linker(1)(iter([batch])) for e in out.to_pylist()]
     assert got and {n for e in got for n in e} == {0, 1, 1 << 40, 3}
 
