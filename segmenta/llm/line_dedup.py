@@ -1,19 +1,19 @@
 """Line deduplication across a corpus by a segment-partition edit join; DataFrame functions only.
 
-Lines of LEAST_CHARS characters or more are compared. A later copy of a line is removed, and so is every
-line within EDITS edits of a line that first occurs earlier (by id, row, place in the text). Shorter lines
-stay, as unrelated texts share them.
+A later copy of a line that has a word is removed, whatever its length. So is every line of LEAST_CHARS characters or more
+within EDITS edits of a line that first occurs earlier (by id, row, place in the text); shorter lines take no part in
+the edit join, as two edits change what they say.
 
 Each distinct line is cut into EDITS + 1 even segments; of two lines within EDITS edits one segment of the
 longer or equally long one occurs unchanged in the other, shifted by no more than the edits that fit before and
 after it. So a line enters an index by its own segments under its length, and probes, for each length at
-most EDITS shorter, the substrings at the shifts that the multi-match-aware rule leaves. Pairs that
-meet are verified by the built-in banded edit distance, which stops beyond the threshold; the bit-parallel form
-is not among the built-in functions and only its result matters.
+most EDITS shorter, the substrings at the shifts that the multi-match-aware rule leaves. Pairs that meet are
+verified by a banded bit-parallel edit distance: for each number of edits one bit for each diagonal of the band, moved
+on together for each character.
 
-Defined cases: null and empty texts have one empty line and lose nothing; a text that loses every line
-becomes empty and its row stays; repeated rows count as later copies of each other; rows with a null id
-come first; an empty table gives an empty table; other columns pass through.
+Defined cases: null and empty texts have one empty line and lose nothing; lines without a word stay; a text that loses
+every line becomes empty and its row stays; repeated rows count as later copies of each other; rows with a null id
+come first; an empty table gives an empty table; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import saved
+from segmenta.llm.common import WORD, free_name, numbered, saved, small
 
 EDITS = 2
 #: Index rows of a key from which its lines are compared in place.
 CROWD = 16
 LEAST_CHARS = 40
+#: Lines with near ones up to which their table is broadcast.
+FEW = 1 << 17
 
 
 def lines_of(text: Column) -> Column:
@@ -64,33 +66,51 @@ def probe_keys(edits: int) -> list[str]:
     return out
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
-    rows = rows.select("id", "uid", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    return rows.filter(F.length("line") >= least)
+def within_edits(a: str, b: str, edits: int) -> Column:
+    """Whether columns a and b, not empty, are within that many edits. r<e> has bit edits + d if the characters of a so far
+    can be turned into d more of b by e edits: equal characters keep a bit where it is, a changed one too, a dropped one
+    moves it down, an added one up."""
+    band = (1 << (2 * edits + 1)) - 1
+    begin = {0: 1 << edits}
+    for e in range(1, edits + 1):
+        begin[e] = begin[e - 1] | (begin[e - 1] << 1) & band
+    state = lambda bits: "named_struct(" + ", ".join(f"'r{e}', {x}" for e, x in enumerate(bits)) + ")"
+    met = " + ".join(f"IF(get(z.cb, i + {d}) <=> get(z.ca, i), {1 << (edits + d)}L, 0L)" for d in range(-edits, edits + 1))
+    moved = ["s.r0 & m"]
+    for e in range(1, edits + 1):
+        moved.append(f"((s.r{e} & m) | s.r{e - 1} | shiftright(s.r{e - 1}, 1) | shiftleft({moved[-1]}, 1)) & {band}L")
+        moved[-1] = f"({moved[-1]})"
+    step = f"aggregate(array({met}), {state('0L' for _ in moved)}, (x, m) -> {state(moved)})"  # names the mask m
+    chars = f"aggregate(sequence(0, length({a}) - 1), {state(f'{x}L' for x in begin.values())}, (s, i) -> {step})"
+    last = f"shiftright({chars}.r{edits}, length({b}) - length({a}) + {edits}) & 1 = 1"
+    both = f"array(named_struct('ca', split({a}, ''), 'cb', split({b}, '')))"  # cut once for all steps
+    return F.expr(f"abs(length({a}) - length({b})) <= {edits}") & F.expr(f"aggregate({both}, false, (x, z) -> {last})")
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, uid: str | None = None) -> DataFrame:
+    row = F.col(uid) if uid else F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).alias("id"), row.alias("uid"), F.col(text_col).alias("text"))
+    return rows.select("id", "uid", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
 
 
 def line_id(line: Column) -> Column:
     return F.unhex(F.md5(line.cast("binary")))
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS) -> DataFrame:
-    """lid (md5 of the line) and at (id, row, place) of each line long enough; no texts."""
-    return _lines(docs, id_col, text_col, least).select(line_id(F.col("line")).alias("lid"), F.struct("id", "uid", "pos").alias("at"))
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid: str | None = None) -> DataFrame:
+    """lid (md5 of the line) and at (id, row, place) of each line with a word; no texts."""
+    found = _lines(docs, id_col, text_col, uid).filter(F.col("line").rlike(WORD))
+    return found.select(line_id(F.col("line")).alias("lid"), F.struct("id", "uid", "pos").alias("at"))
 
 
-def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS) -> DataFrame:
-    """h (a 64-bit hash), line and at (its first place). Lines that share a hash are told apart but take the earlier one's
-    place. Line and place are built as one value, so every use needs the same columns and the texts are dealt once."""
-    found = _lines(docs, id_col, text_col, least).select(F.xxhash64("line").alias("h"), "line", F.struct("id", "uid", "pos").alias("at"))
-    grouped = found.groupBy("h").agg(F.collect_set("line").alias("lines"), F.min("at").alias("at"))
-    both = F.transform("lines", lambda line: F.struct(line.alias("line"), F.col("at").alias("at")))
-    return grouped.select("h", F.explode(both).alias("l")).select("h", "l.line", "l.at")
+def distinct_lines(docs: DataFrame, text_col: str = "text", least: int = LEAST_CHARS) -> DataFrame:
+    """h (a 64-bit hash, which different lines may share) and line, for each line long enough."""
+    lines = docs.select(F.explode(lines_of(F.col(text_col))).alias("line")).filter((F.length("line") >= least) & F.col("line").rlike(WORD))
+    return lines.select(F.xxhash64("line").alias("h"), "line").groupBy("h").agg(F.collect_set("line").alias("lines")).select("h", F.explode("lines").alias("line"))
 
 
 def near_pairs(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, crowd: int = CROWD) -> DataFrame:
-    """Pairs (a, b) of lids, with the places of their first occurrences, whose lines differ and are within that many
-    edits.
+    """Pairs (a, b), a < b, of lids of different lines within that many edits.
 
     Of keys with up to `crowd` index rows each meeting makes a pair of hashes, whose texts are fetched. The lines of a
     crowded key are compared where they stand, and no row is made for a pair that fails. Joins with the crowded keys are
@@ -103,55 +123,53 @@ def near_pairs(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, cr
     met = few.join(probe, "key").filter("x <> y").select("x", "y")
     own = few.join(few.withColumnRenamed("x", "y"), "key").filter("x < y").select("x", "y")
     pairs = met.union(own).select(F.least("x", "y").alias("h_a"), F.greatest("x", "y").alias("h_b")).distinct()
-    side = lambda k: distinct.select(*[F.col(c).alias(f"{c}_{k}") for c in ("h", "line", "at")])
-    within = F.levenshtein("line_a", "line_b", edits) >= 0
-    apart = pairs.join(side("a"), "h_a").join(side("b"), "h_b").filter(within)
+    # lines that share a hash are told apart by no key and so are met here
+    shared = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("h_a"), F.col("h").alias("h_b"))
+    side = lambda k: distinct.select(F.col("h").alias(f"h_{k}"), F.col("line").alias(f"line_{k}"))
+    within = within_edits("line_a", "line_b", edits)
+    apart = pairs.union(shared).join(side("a"), "h_a").join(side("b"), "h_b").filter("line_a <> line_b").filter(within)
     indexed = index.join(crowded, "key").select("key", F.col("x").alias("h_a"))
     probing = probe.join(crowded, "key").select("key", F.lit(False).alias("own"), F.col("y").alias("h_b"))
     others = probing.union(indexed.select("key", F.lit(True), "h_a"))
     once = (F.col("h_a") < F.col("h_b")) | (~F.col("own") & (F.col("h_a") != F.col("h_b")))
-    together = indexed.join(side("a"), "h_a").join(others.join(side("b"), "h_b"), "key").filter(once & within)
-    ends = [F.struct(line_id(F.col(f"line_{k}")).alias("lid"), F.col(f"at_{k}").alias("at")) for k in "ab"]
-    near = apart.select(*[e.alias(k) for e, k in zip(ends, "ab", strict=True)]).union(together.select(*ends))
-    first = F.col("a.lid") < F.col("b.lid")
-    return near.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+    together = indexed.join(side("a"), "h_a").join(others.join(side("b"), "h_b"), "key").filter(once).filter(within)
+    ends = [line_id(F.col(f"line_{k}")).alias(k) for k in "ab"]
+    near = apart.select(*ends).union(together.select(*ends))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """For each distinct line with a near one: lid, links (other texts within the edits) and early_link (one of them
-    first occurs earlier)."""
-    pairs = near_pairs(docs, edits, least)
-    late = F.col("a.at") > F.col("b.at")
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a.lid").alias("lid"), late.alias("late")), F.struct(F.col("b.lid").alias("lid"), (~late).alias("late")))).alias("e"))
-    return saved(ends.groupBy("e.lid").agg(F.count(F.lit(1)).alias("links"), F.max("e.late").alias("early_link")))
-
-
-def removals(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def removals(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", uid: str | None = None) -> DataFrame:
     """uid (row number), copy_lines, near_lines and removed (places in order) of each row that loses lines."""
-    near = line_classes(docs, edits, least).filter("early_link").select("lid", F.lit(True).alias("near"))
-    found = occurrences(docs, least=least)
-    classes = found.groupBy("lid").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies")).join(near, "lid", "left")
-    lost = found.join(classes.filter("copies > 1 or near"), "lid").filter("near or at <> first")
-    near_line = F.coalesce("near", F.lit(False))
-    return lost.groupBy(F.col("at.uid").alias("uid")).agg(
-        F.sum(F.when(near_line, 0).otherwise(1)).alias("copy_lines"),
-        F.sum(F.when(near_line, 1).otherwise(0)).alias("near_lines"),
+    pairs = saved(near_pairs(docs, edits, least))
+    ends = pairs.union(pairs.select("b", "a")).toDF("lid", "other")
+    found = occurrences(docs, id_col, uid=uid)
+    classes = found.groupBy("lid").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"))
+    asked = small(saved(ends.select("lid").distinct()), FEW)
+    firsts = saved(classes.join(asked, "lid").select("lid", "first"))
+    each = ends.join(firsts, "lid").join(firsts.select(F.col("lid").alias("other"), F.col("first").alias("before")), "other")
+    near = saved(each.filter("before < first").select("lid", F.lit(True).alias("near")).distinct())
+    lost = classes.join(small(near, FEW), "lid", "left").filter("copies > 1 or near").select("lid", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = found.join(lost, "lid").filter("near or at <> first")
+    return gone.groupBy(F.col("at.uid").alias("uid")).agg(
+        F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("copy_lines"),
+        F.sum(F.when(F.col("near"), 1).otherwise(0)).alias("near_lines"),
         F.sort_array(F.collect_list("at.pos")).alias("removed"),
     )
 
 
-def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, copy_lines, near_lines and removed (places, comma-joined) of every document."""
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.size(lines_of(F.col("text"))).alias("n_lines"))
-    found = rows.join(removals(docs), "uid", "left")
+def line_report(docs: DataFrame, stored: bool = False) -> DataFrame:
+    """doc_id, n_lines, copy_lines, near_lines and removed (places, comma-joined) of every document. stored: see numbered."""
+    rows, uid = numbered(docs.select("doc_id", "text"), stored)
+    lost = removals(rows, uid=uid).withColumnRenamed("uid", uid)
+    found = rows.select("doc_id", uid, F.size(lines_of(F.col("text"))).alias("n_lines")).join(lost, uid, "left")
     zero = F.lit(0).cast("bigint")
     return found.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.coalesce("copy_lines", zero).alias("copy_lines"), F.coalesce("near_lines", zero).alias("near_lines"), F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed"))
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: every document, its text without the removed lines. docs is a stored table: its row numbers
-    are taken more than once."""
-    lost = removals(docs).select(F.col("uid").alias("__uid"), F.map_from_arrays("removed", F.transform("removed", lambda _: F.lit(True))).alias("__removed"))
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id()).join(lost, "__uid", "left")
-    kept = F.array_join(F.filter(lines_of(F.col("text")), lambda line, i: ~F.map_contains_key("__removed", i)), "\n")
-    return rows.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+def without_repeated_lines(docs: DataFrame, stored: bool = False) -> DataFrame:
+    """Pipeline stage: every document, its text without the removed lines. stored: see numbered."""
+    rows, uid = numbered(docs, stored)
+    gone = free_name(rows, "__removed")
+    lost = removals(rows, uid=uid).select(F.col("uid").alias(uid), F.map_from_arrays("removed", F.transform("removed", lambda _: F.lit(True))).alias(gone))
+    kept = F.array_join(F.filter(lines_of(F.col("text")), lambda line, i: ~F.map_contains_key(gone, i)), "\n")
+    return rows.join(lost, uid, "left").withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

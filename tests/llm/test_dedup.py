@@ -166,11 +166,12 @@ def distance(a, b):
 
 
 def brute_lines(rows, edits, least):
-    found = [(i is not None, i or 0, k, p, line) for k, (i, t) in enumerate(rows) for p, line in enumerate((t or "").split("\n")) if len(line) >= least]
+    found = [(i is not None, i or 0, k, p, line) for k, (i, t) in enumerate(rows) for p, line in enumerate((t or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", line)]
     first = {}
     for f in sorted(found):
         first.setdefault(f[-1], f[:-1])
-    near = {b for b in first for a in first if first[a] < first[b] and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits}
+    long = [x for x in first if len(x) >= least]
+    near = {b for b in long for a in long if first[a] < first[b] and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits}
     lost = {}
     for f in found:
         if f[-1] in near or first[f[-1]] != f[:-1]:
@@ -178,6 +179,30 @@ def brute_lines(rows, edits, least):
     return lost
 
 
+@pytest.mark.parametrize("edits", [1, 2, 4])
+def test_bit_parallel_distance(spark, edits):
+    rng = random.Random(edits)
+    rows = [("a" * 300, "a" * 299 + "b"), ("x", "y"), ("x", "xyzzy")]
+    for _ in range(300):
+        a = rng.choices("abé😀", k=rng.randrange(1, 14))
+        b = list(a)
+        for _ in range(rng.randrange(6)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice(["", "x", "a"])
+        rows.append(("".join(a), "".join(b) or "z"))
+    got = spark.createDataFrame(rows, "a string, b string").select(line_dedup.within_edits("a", "b", edits)).collect()
+    assert [r[0] for r in got] == [distance(a, b) <= edits for a, b in rows]
+
+
+def test_lines_that_share_a_hash(spark, docs_of, monkeypatch):
+    """Lines are told apart where their hashes are not."""
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("bigint"))
+    lines = ["the first of two lines that are quite alike", "the second line has nothing to do with the others", "the first of two lines that are quite alika"]
+    rows = [(9, lines[0]), (3, lines[1]), (5, lines[2]), (12, lines[1])]
+    got = {r.doc_id: (r.copy_lines, r.near_lines) for r in line_dedup.line_report(docs_of(rows)).collect()}
+    assert got == {9: (0, 1), 3: (0, 0), 5: (0, 0), 12: (1, 0)}
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_lines_against_brute_force(spark, docs_of, edits):
     rng = random.Random(edits)
@@ -195,7 +220,7 @@ def test_lines_against_brute_force(spark, docs_of, edits):
     docs = docs_of(rows).coalesce(1)
     got = {r.uid: r.removed for r in line_dedup.removals(docs, edits=edits, least=12).collect()}
     assert got == brute_lines(rows, edits, 12)
-    pairs = [{(r.a.lid, r.b.lid) for r in line_dedup.near_pairs(docs, edits, 12, crowd).collect()} for crowd in (0, 2, 1000)]
+    pairs = [{(bytes(r.a), bytes(r.b)) for r in line_dedup.near_pairs(docs, edits, 12, crowd).collect()} for crowd in (0, 2, 1000)]
     assert pairs[0] == pairs[1] == pairs[2] and pairs[0]
 
 
