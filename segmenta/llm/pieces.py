@@ -7,8 +7,9 @@ piece prefixes); each hit of a piece's range is an edge from its first to its la
 position and relaxed: in every chunk the edge of the best score that spans two adjacent symbols is taken, again and
 again, which is the order in which a byte-pair model merges. Characters that no piece covers become byte pieces.
 
-Defined cases: a null text has null ids, an empty text none; chunks longer than LONG characters are relaxed one at a time
-with a heap; U+2581 in a text stands for a blank, as in the format, so decoding gives the blank; lone surrogates do not
+Chunks longer than LONG characters have few others to go in step with, so the same edges are relaxed from a heap there.
+
+Defined cases: a null text has null ids, an empty text none; U+2581 in a text stands for a blank, as in the format, so decoding gives the blank; lone surrogates do not
 occur in Spark strings; an empty table gives an empty table.
 """
 
@@ -138,13 +139,15 @@ def edges_of(codes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return key[by], v.sorted_ids[piece[by]]
 
 
-def relax(codes: np.ndarray, chunk: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def relax(codes: np.ndarray, chunk: np.ndarray, v: Vocabulary, long: int = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of all chunks: begin, length, piece (-1: one character). In each round every chunk takes its best edge
-    over two adjacent symbols, the leftmost of equal ones."""
+    over two adjacent symbols, the leftmost of equal ones; chunks over `long` characters do so one after another."""
     keys, pieces = edges_of(codes, v)
-    begin, size = np.arange(len(codes)), np.ones(len(codes), np.int64)
-    piece = np.full(len(codes), -1)
-    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+    counts = np.diff(np.r_[first, len(chunk)])
+    done = [relax_long(i, i + n, keys, pieces, v) for i, n in zip(first.tolist(), counts.tolist(), strict=True) if n > long]
+    begin = np.flatnonzero(np.repeat(counts <= long, counts))
+    size, piece, chunk = np.ones(len(begin), np.int64), np.full(len(begin), -1), chunk[begin]
     worst = np.iinfo(np.int64).max
     while len(begin):
         together = size[:-1] + size[1:]
@@ -173,41 +176,42 @@ def relax(codes: np.ndarray, chunk: np.ndarray, v: Vocabulary) -> tuple[np.ndarr
     return tuple(p[by] for p in parts)
 
 
-def merge_long(text: str, v: Vocabulary) -> list[int]:
-    """One long chunk: adjacent symbols merge best first, from a heap, on a linked list."""
-    n = len(text)
-    after, before, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
-    heap: list[tuple[int, int, int]] = []
+def relax_long(start: int, stop: int, keys: np.ndarray, pieces: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of the one chunk from start to stop: its edges over adjacent symbols wait in a heap, best first, then
+    leftmost."""
+    width = v.depth + 1
+    low, high = np.searchsorted(keys, [start * width, stop * width])
+    keys, pieces = keys[low:high], pieces[low:high]
+    n = stop - start
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    size, piece = np.ones(n, np.int64), np.full(n, -1)
+    # edges over two characters are there from the beginning
+    two = np.flatnonzero(keys % width == 2)
+    heap = list(zip(v.rank[pieces[two]].tolist(), (keys[two] // width - start).tolist(), [2] * len(two), pieces[two].tolist(), strict=True))
+    heapq.heapify(heap)
 
     def offer(i: int) -> None:
         j = after[i]
-        if j < n and size[i] + size[j] <= v.depth:
-            k = v.ids.get(text[i : j + size[j]])
-            if k is not None:
-                heapq.heappush(heap, (int(v.rank[k]), i, size[i] + size[j]))
+        if j < n and (total := int(size[i] + size[j])) <= v.depth:
+            key = (start + i) * width + total
+            k = int(np.searchsorted(keys, key))
+            if k < len(keys) and keys[k] == key:
+                heapq.heappush(heap, (int(v.rank[pieces[k]]), i, total, int(pieces[k])))
 
-    for i in range(n):
-        offer(i)
     while heap:
-        _, i, total = heapq.heappop(heap)
+        _, i, total, found = heapq.heappop(heap)
         j = after[i] if size[i] else n
         if j >= n or not size[j] or size[i] + size[j] != total:
             continue
-        size[i], size[j] = total, 0
+        size[i], size[j], piece[i] = total, 0, found
         after[i] = after[j]
         if after[j] < n:
             before[after[j]] = i
         offer(i)
         if before[i] >= 0:
-            offer(before[i])
-    out: list[int] = []
-    i = 0
-    while i < n:
-        s = text[i : i + size[i]]
-        k = v.ids.get(s)
-        out += [k] if k is not None else v.bytes_of(s)
-        i = after[i]
-    return out
+            offer(int(before[i]))
+    alive = np.flatnonzero(size)
+    return alive + start, size[alive], piece[alive]
 
 
 class Encoder:
@@ -224,16 +228,7 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """ids of new chunks go to the end of the flat store."""
-        v = self.v
-        short = [c for c in new if len(c) <= LONG]
-        text = "".join(short)
-        lengths = np.fromiter(map(len, short), np.int64, len(short))
-        if short:
-            self._store(short, self._short(text, lengths))
-        for c in new:
-            if len(c) > LONG:
-                ids = np.array(merge_long(c, v), np.int32)
-                self._store([c], (ids, np.array([len(ids)])))
+        self._store(new, self._ids("".join(new), np.fromiter(map(len, new), np.int64, len(new))))
 
     def _store(self, chunks: list[str], found: tuple[np.ndarray, np.ndarray]) -> None:
         ids, n = found
@@ -243,7 +238,7 @@ class Encoder:
         self.begin.append(self.used + np.cumsum(n))
         self.used += len(ids)
 
-    def _short(self, text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         v = self.v
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         begin, size, piece = relax(codes, np.repeat(np.arange(len(lengths)), lengths), v)

@@ -108,6 +108,25 @@ def test_pieces(spark, docs_of):
     assert all(r.text == r.back for r in texts)
 
 
+def test_pieces_of_long_chunks():
+    """One chunk at a time from a heap, or all in step: the ids of the reference library either way."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.VOCABULARY)
+    with open(pieces.VOCABULARY, "rb") as f:
+        own = pieces.Encoder(f.read())
+    rng = random.Random(9)
+    texts = ["".join(rng.choices([*"abcdefgiorstn", "the", "ing", "字", "é"], k=rng.randrange(1, 150))) for _ in range(60)]
+    texts += ["x" * 20_000, "internationalization" * 300, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=30_000))]
+    assert [a.tolist() for a in own.encode(texts)] == [sp.encode(t) for t in texts]
+    for t in texts[:60]:
+        v = own.v
+        codes = np.frombuffer(v.normalised(t).encode("utf-32-le"), np.uint32)
+        chunk = np.zeros(len(codes), np.int64)
+        for a, b in zip(pieces.relax(codes, chunk, v, 0), pieces.relax(codes, chunk, v, 1 << 20), strict=True):
+            assert np.array_equal(a, b)
+
+
 def test_network_gradients():
     """Backward against differences of the loss."""
     net = toxicity.Net(1)
