@@ -54,6 +54,21 @@ def small(saved_df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(saved_df) if saved_df.count() <= most else saved_df
 
 
+#: Rows of side tables up to which they are broadcast, rows of a key from which it is dealt out, and tasks it is dealt to.
+FEW, HOT, SALTS = 1 << 17, 1 << 12, 64
+
+
+def dealt_join(rows: DataFrame, of: DataFrame, key: str, by: str, counts: DataFrame) -> DataFrame:
+    """rows joined with of, which has one row a key. Keys with over HOT rows, by counts (key, n), are dealt to SALTS tasks
+    by the column `by`; there are at most rows / HOT such keys."""
+    hot = small(saved(counts.filter(F.col("n") > HOT).select(key, F.lit(SALTS).alias("__salts"))), FEW)
+    salt = F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
+    left = rows.join(hot, key, "left").withColumn("__salt", salt).drop("__salts")
+    right = of.join(hot, key, "left").withColumn("__salt", each).drop("__salts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves remainder 1 by 3; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -2,8 +2,8 @@
 
 Texts are hashed once; after that only digests move. In the first pass each partition notes which filter
 bits its digests set once and which more often; the notes are merged slice by slice. In the second
-pass a digest whose bits were all set at least twice is suspect: only suspects shuffle, all others pass
-straight through as groups of one. A false alarm costs a shuffled row and never changes a result.
+pass a digest whose bits were all set at least twice is suspect: only suspects shuffle (a digest of many rows dealt to
+many tasks), all others pass straight through as groups of one. A false alarm costs a shuffled row and never changes a result.
 
 The filter has 16 bits a row up to max_bits, so what is broadcast never exceeds max_bits / 8 bytes. Beyond
 max_bits / 16 rows the share of false alarms rises, until all digests shuffle as in a plain grouping.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import saved, small_batches
+from segmenta.llm.common import dealt_join, saved, small_batches
 
 MAX_BITS = 1 << 28
 SLICE = 1 << 16
@@ -137,5 +137,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone = probed.filter(~F.col("suspect")).select(F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), hexed)
     suspects = probed.filter("suspect").drop("suspect")
     best = suspects.groupBy("sha").agg(F.max(F.struct("id", "uid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    grouped = suspects.join(best, "sha").select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("best.uid") == F.col("uid")).alias("kept"), hexed)
+    met = dealt_join(suspects, best, "sha", "uid", best.select("sha", F.col("group_size").alias("n")))
+    grouped = met.select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("best.uid") == F.col("uid")).alias("kept"), hexed)
     return alone.unionByName(grouped)

@@ -5,7 +5,8 @@ probabilities (languages x BUCKETS floats, a fixed number of buckets) is broadca
 its sparse bucket counts in numpy.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; rows without lang, with a null or a
-held-out id teach nothing; without any training row every text is `und`; other columns are ignored.
+held-out id teach nothing; without any training row every text is `und`; other columns are ignored by the query and pass through the stage,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import held_out, small_batches
+from segmenta.llm.common import free_name, held_out, small_batches
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -149,5 +150,6 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Pipeline stage: documents with a letter whose best language is likelier than all others together."""
-    known = predict(docs, learn_from_documents(docs))
-    return known.filter((F.col("__language.lang_pred") != UND) & (F.col("__language.score") >= least)).select(*docs.columns)
+    out = free_name(docs, "__language")
+    known = predict(docs, learn_from_documents(docs), out=out)
+    return known.filter((F.col(f"{out}.lang_pred") != UND) & (F.col(f"{out}.score") >= least)).select(*docs.columns)

@@ -21,14 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import WORD, free_name, numbered, saved, small
+from segmenta.llm.common import FEW, WORD, free_name, numbered, saved, small
 
 EDITS = 2
 #: Index rows of a key from which its lines are compared in place.
 CROWD = 16
 LEAST_CHARS = 40
-#: Lines with near ones up to which their table is broadcast.
-FEW = 1 << 17
 
 
 def lines_of(text: Column) -> Column:

@@ -9,12 +9,13 @@ is at most twice the source's size, so no row is taken more than twice.
 SLOTS bounds the number of scheduled slots and so the rows of one source's ranking; blocks grow with the input. The points
 need not meet a small source as often as its target asks, so ranks that the schedule leaves out follow after it:
 every source has a slot for each of its blocks, and all of its target is taken.
-Running positions come from sums over BINS hash bins a source and then within a bin, so no task gets a
-whole source.
+Running positions come from sums over groups of hash bins, over the bins of a group and within a bin, and ranks of
+slots from counts of stretches and within a stretch, so no task gets a whole source. Tables with a row a source are
+ordered in one task, as places follow from that order.
 
 Defined cases: a null or blank text has size 0 and is never taken; null is a source of its own, ordered
 last; repeated rows are separate rows; an empty table or one without words gives rows with target 0 and taken
-0; other columns are ignored.
+0; other columns are ignored by the query and pass through the stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import WORD, saved
+from segmenta.llm.common import FEW, WORD, free_name, numbered, saved, small
 
 WEIGHTS = (3, 1, 2)
 EXTRA = 1.5
 REPEAT = 2
 SLOTS = 1 << 20
 LEAST_BLOCK = 16
-BINS = 1 << 14
+BINS, GROUP = 1 << 14, 1 << 7
+STRETCH = 1 << 10
 CELLS = 1 << 12
 RING = 1 << 32
 #: 2**32 over the golden ratio.
@@ -100,7 +102,11 @@ def schedule(plan: DataFrame) -> tuple[DataFrame, int]:
     points = points.withColumn("cell", F.expr(f"x div {width}"))
     arcs = plan.filter("hi > lo").select("place", "lo", "hi", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")).alias("cell"))
     met = points.join(arcs, (points["cell"] == arcs["cell"]) & (points["x"] >= arcs["lo"]) & (points["x"] < arcs["hi"]))
-    ranked = met.select("place", (F.row_number().over(Window.partitionBy("place").orderBy("t")) - 1).cast("bigint").alias("rank"), "t")
+    met = met.select("place", "t", F.expr(f"t div {STRETCH}").alias("stretch"))
+    counts = met.groupBy("place", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("place", "stretch", (F.sum("n").over(Window.partitionBy("place").orderBy("stretch")) - F.col("n")).alias("sooner"))
+    inside = F.row_number().over(Window.partitionBy("place", "stretch").orderBy("t")) - 1
+    ranked = met.withColumn("inside", inside).join(counts, ["place", "stretch"]).select("place", (F.col("sooner") + F.col("inside")).alias("rank"), "t")
     had = met.groupBy("place").agg(F.count(F.lit(1)).alias("had"))
     lacks = plan.filter("end > 0").join(had, "place", "left").select("place", F.coalesce("had", F.lit(0)).alias("had"), F.expr(f"(end + {block} - 1) div {block}").alias("need")).filter("had < need")
     lacks = lacks.withColumn("before", F.sum(F.col("need") - F.col("had")).over(Window.orderBy("place")) - F.col("need"))
@@ -112,11 +118,15 @@ def laid_out(sizes: DataFrame) -> DataFrame:
     """sizes with begin: the words before the row in its source's shuffled order."""
     same = F.col("source").eqNullSafe(F.col("_source"))
     binned = sizes.withColumn("bin", F.expr(f"shiftright(key, {60 - BINS.bit_length() + 1})"))
-    bins = binned.groupBy(F.col("source").alias("_source"), F.col("bin").alias("_bin")).agg(F.sum("size").alias("bin_size"))
-    bins = bins.withColumn("bin_begin", F.sum("bin_size").over(Window.partitionBy("_source").orderBy("_bin")) - F.col("bin_size"))
-    inside = Window.partitionBy("source", "bin").orderBy("key", "size", "uid").rowsBetween(Window.unboundedPreceding, 0)
+    bins = binned.groupBy(F.col("source").alias("_source"), F.col("bin").alias("_bin")).agg(F.sum("size").alias("bin_size")).withColumn("group", F.expr(f"_bin div {GROUP}"))
+    groups = bins.groupBy(F.col("_source").alias("_of"), F.col("group").alias("_group")).agg(F.sum("bin_size").alias("size"))
+    groups = groups.select("_of", "_group", (F.sum("size").over(Window.partitionBy("_of").orderBy("_group")) - F.col("size")).alias("group_begin"))
+    in_group = F.sum("bin_size").over(Window.partitionBy("_source", "group").orderBy("_bin")) - F.col("bin_size")
+    bins = bins.withColumn("in_group", in_group).join(groups, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("group") == F.col("_group")))
+    bins = bins.select("_source", "_bin", (F.col("group_begin") + F.col("in_group")).alias("bin_begin"))
+    inside = Window.partitionBy("source", "bin").orderBy("key", "size", "id", "uid").rowsBetween(Window.unboundedPreceding, 0)
     rows = binned.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
-    return rows.join(bins, same & (F.col("bin") == F.col("_bin"))).withColumn("begin", F.col("bin_begin") + F.col("inside")).drop("_source", "_bin", "bin_size", "bin_begin", "inside", "bin")
+    return rows.join(bins, same & (F.col("bin") == F.col("_bin"))).withColumn("begin", F.col("bin_begin") + F.col("inside")).drop("_source", "_bin", "bin_begin", "inside", "bin")
 
 
 def mix_pieces(sizes: DataFrame, plan: DataFrame) -> DataFrame:
@@ -136,21 +146,21 @@ def mix_pieces(sizes: DataFrame, plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     sizes = sized(docs)
-    plan = saved(targets(sizes))
+    plan = small(saved(targets(sizes)), FEW)
     taken = mix_pieces(sizes, plan).groupBy("uid").agg(F.sum("words").alias("taken"))
     known = plan.select(F.col("source").alias("_source"), "source_size", "target")
     out = sizes.join(known, F.col("source").eqNullSafe(F.col("_source"))).join(taken, "uid", "left")
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, stored: bool = False) -> DataFrame:
     """Pipeline stage: a row for each time that a document is taken; where the source's stream ends within a
-    document, its text is cut after the last word taken."""
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id())
-    sizes = saved(rows.select("__uid", F.col("__uid").alias("uid"), F.col("doc_id").alias("id"), "source", n_words(F.col("text")).alias("size"), shuffle_key(F.col("doc_id")).alias("key")))
-    plan = saved(targets(sizes))
-    times = mix_pieces(sizes.drop("__uid"), plan).groupBy("uid", "epoch").agg(F.sum("words").alias("__words"))
-    times = times.join(sizes.select("uid", "size"), "uid").select(F.col("uid").alias("__uid"), "__words", F.col("size").alias("__size"))
-    out = rows.join(times, "__uid")
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), 1), F.lit(1), F.col("__words").cast("int")), " ")
-    return out.withColumn("text", F.when(F.col("__words") < F.col("__size"), first).otherwise(F.col("text"))).select(*docs.columns)
+    document, its text is cut after the last word taken. stored: see numbered."""
+    rows, uid = numbered(docs, stored)
+    sizes = saved(rows.select(F.col(uid).alias("uid"), F.col("doc_id").alias("id"), "source", n_words(F.col("text")).alias("size"), shuffle_key(F.col("doc_id")).alias("key")))
+    plan = small(saved(targets(sizes)), FEW)
+    times = mix_pieces(sizes, plan).groupBy("uid", "epoch").agg(F.sum("words").alias("words"))
+    words, size = free_name(rows, "__words"), free_name(rows, "__size")
+    times = times.join(sizes.select("uid", "size"), "uid").select(F.col("uid").alias(uid), F.col("words").alias(words), F.col("size").alias(size))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), 1), F.lit(1), F.col(words).cast("int")), " ")
+    return rows.join(times, uid).withColumn("text", F.when(F.col(words) < F.col(size), first).otherwise(F.col("text"))).select(*docs.columns)

@@ -28,7 +28,10 @@ p AS (SELECT *, floor((hi_end - stop)::DOUBLE / all_end * 4294967296)::BIGINT AS
 b AS (SELECT greatest(16, (max(all_end) + 1048575) // 1048576)::BIGINT AS block, max(all_end) AS all_end, min(stop) FILTER (WHERE stop > 0) AS least_end FROM p),
 n AS (SELECT block, slots + least(slots, (4 * all_end + least_end - 1) // least_end) AS slots FROM (SELECT *, (all_end + block - 1) // block AS slots FROM b)),
 x AS (SELECT t.t, (t.t * 2654435769) % 4294967296 AS x FROM (SELECT unnest(range(slots::BIGINT)) AS t FROM n) t),
-k AS (SELECT place, row_number() OVER (PARTITION BY place ORDER BY t) - 1 AS rank FROM x JOIN p ON x >= lo AND x < hi),
+met AS (SELECT place, row_number() OVER (PARTITION BY place ORDER BY t) - 1 AS rank FROM x JOIN p ON x >= lo AND x < hi),
+had AS (SELECT place, count(*) AS had FROM met GROUP BY place),
+k AS (SELECT place, rank FROM met
+      UNION ALL SELECT place, unnest(range(coalesce(had, 0)::BIGINT, ((stop + block - 1) // block)::BIGINT)) AS rank FROM p LEFT JOIN had USING (place), n WHERE stop > 0),
 l AS (SELECT d.*, place, source_size, target, stop, row_number() OVER () AS uid,
         sum(size) OVER (PARTITION BY d.source ORDER BY key, size, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),

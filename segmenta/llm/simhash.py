@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import numbered, saved, small, small_batches
+from segmenta.llm.common import FEW, dealt_join, numbered, saved, small, small_batches
 
 RADIUS = 4
 SHINGLE = 4
@@ -48,10 +48,6 @@ RECALL = 0.9
 LEAST_BITS = 18
 SHARD = 1024
 PIVOTS = 8
-#: Rows of side tables (large shards, common fingerprints) up to which these are broadcast.
-FEW = 1 << 17
-#: Tasks that the rows of a common fingerprint are dealt to.
-SALTS = 64
 #: Rows of sorted shards that a task takes up together, and node visits of one step.
 GATHER = 1 << 17
 VISITS = 1 << 20
@@ -341,12 +337,9 @@ def similar_groups(rows: DataFrame, estimate: float = ESTIMATE, n: int = STAGE_S
 
 
 def _with_groups(prints: DataFrame, of: DataFrame) -> DataFrame:
-    """Rows with their fingerprint's group. A fingerprint of many rows is dealt by salt, the others by themselves."""
-    counts = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SALTS * SALTS)
-    hot = saved(counts.select("fp", F.lit(True).alias("hot")))  # at most rows / SALTS ** 2
-    mark = prints.join(small(hot, FEW), "fp", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
-    spread = of.join(small(hot, FEW), "fp", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
-    return mark.join(spread, ["fp", "salt"]).select("id", "uid", "fp", "component_id", "best")
+    """Rows with their fingerprint's group."""
+    counts = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    return dealt_join(prints, of, "fp", "uid", counts).select("id", "uid", "fp", "component_id", "best")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

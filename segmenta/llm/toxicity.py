@@ -9,7 +9,8 @@ them held out. A text's label belongs to its likeliest window: rounds of scoring
 on the chosen ones take turns. The scores are then calibrated on a fifth of the sample. Log odds that a text is trained with come from the other half of the sample.
 
 Defined cases: a text without a word (null included) scores 0; without both classes among the labels every text scores
-0; labels of repeated ids count once, toxic if any is; an empty table gives an empty table; other columns are ignored.
+0; labels of repeated ids count once, toxic if any is, and of a repeated id's texts the least in code-point order is
+trained with; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -339,7 +340,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> pd.Data
     own = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [own.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     ids = chosen[0].union(chosen[1])  # 2 * most rows at most
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic").toPandas()
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return found.orderBy("doc_id").select("text", "toxic").toPandas()
 
 
 _scorers: dict[str, Scorer] = {}

@@ -82,8 +82,8 @@ def test_mixing_small_sources_beside_large(spark, large, small):
     per = 1000
     big = spark.range(2 * per).selectExpr("id", "id AS uid", "concat('big', id % 2) AS source", f"CAST({large // per} AS BIGINT) AS size")
     tiny = spark.range(2 * per, 2 * per + 400).selectExpr("id", "id AS uid", "concat('tiny', id % 200) AS source", f"CAST({small // 2} AS BIGINT) AS size")
-    sizes = big.union(tiny).withColumn("key", mixing.shuffle_key(F.col("id"))).localCheckpoint()
-    plan = mixing.targets(sizes).localCheckpoint()
+    sizes = big.union(tiny).withColumn("key", mixing.shuffle_key(F.col("id"))).checkpoint()
+    plan = mixing.targets(sizes).checkpoint()
     slots, block = mixing.schedule(plan)
     assert block > 2 * small
     assert slots.count() == slots.select("t").distinct().count() == slots.select("place", "rank").distinct().count()
