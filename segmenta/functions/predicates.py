@@ -5,7 +5,7 @@ predicate that is NULL filters like false; `strict` ones are NULL if any column
 are given is NULL, the others if one that they use is.
 
 dialect "sql" has strict thresholds for Near and Far; dialect "matrix" counts the threshold itself in, closes the
-TopQuadrant range and adds a small constant below the ratio of Faster.
+TopQuadrant range, adds a small constant below the ratio of Faster and counts the edges of lanes out.
 """
 
 from __future__ import annotations
@@ -98,12 +98,25 @@ def inside(polygon: list[tuple[float, float]], x: Column, y: Column) -> Column:
     return reduce(lambda a, b: a + b, crossings) % 2 == 1
 
 
+def on_edge(polygon: list[tuple[float, float]], x: Column, y: Column) -> Column:
+    """Whether the point lies on an edge or a corner."""
+    on = []
+    for (xi, yi), (xj, yj) in zip(polygon, [polygon[-1], *polygon[:-1]], strict=True):
+        turned = (x - xi) * (yj - yi) == (y - yi) * (xj - xi)
+        on.append(turned & x.between(min(xi, xj), max(xi, xj)) & y.between(min(yi, yj), max(yi, yj)))
+    return reduce(lambda a, b: a | b, on)
+
+
 def _lane(name: str) -> Callable[..., Column]:
     def test(o: Get, theta: None = None, dialect: str = "sql") -> Column:
         above = OFFSETS[name]
         y = _cy(o) if above is None else _f(_f(o("y2")) - above)
         known = reduce(lambda a, b: a & b, [o(c).isNotNull() for c in BOXES])
-        return F.when(known, inside(POLYGONS[name], _cx(o), y))
+        x = _cx(o)
+        within = inside(POLYGONS[name], x, y)
+        if dialect == "matrix":
+            within = within & ~on_edge(POLYGONS[name], x.cast("double"), y.cast("double"))
+        return F.when(known, within)
 
     return test
 
@@ -120,6 +133,19 @@ def iou(a: Get, b: Get) -> Column:
     return F.when((w < 0) | (h < 0), 0.0).otherwise(_f(w * h / (area(a) + area(b) - w * h)).cast("double"))
 
 
+def score(name: str, objects: list[Get]) -> Column:
+    """How well a predicate with a number holds, for quantitative evaluation: larger is better, and the predicate holds at
+    parameter t where the score is at least t (Far, HighAccel, Faster) or at least -t (Near, Stopped, DistanceSmall). NULL
+    where it is not defined."""
+    a, b = objects[0], objects[-1]
+    width = _f((_f(a("x2")) - _f(a("x1")) + _f(b("x2")) - _f(b("x1"))) / 2)
+    apart = _f(_distance(a, b) / F.when(width != 0, width))
+    length = lambda x, y: _f(F.sqrt(_square(a, x, y)))
+    scores = {"near": -apart, "far": apart, "distancesmall": -_f(_distance(a, b)), "stopped": -length("vx", "vy"), "highaccel": length("ax", "ay")}
+    scores["faster"] = _f(_square(a, "vx", "vy") / (_square(b, "vx", "vy") + _real(EPSILON)))
+    return scores[name.lower()].cast("double")
+
+
 @dataclass(frozen=True)
 class Predicate:
     name: str

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BOX = ("x1", "y1", "x2", "y2")
+SEGMENTS_OF = 1 << 12
 
 
 def kinematics(boxes: DataFrame) -> DataFrame:
@@ -33,8 +34,8 @@ def track_pairs(detections: DataFrame) -> DataFrame:
 
 
 def pair_key() -> str:
-    """A number for a pair within its segment that needs no global order."""
-    return "oid1 * 1000000 + oid2"
+    """A number for a pair within its segment that needs no global order; distinct for all ids of 32 bits."""
+    return "CAST(oid1 AS BIGINT) * 4294967296 + oid2"
 
 
 def pair_segments(detections: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -51,11 +52,15 @@ def pair_segments(detections: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def numbered_segments(rows: DataFrame) -> DataFrame:
-    """(vid, pair) replaced by one number: places within hash-free ranges of vid, offset by the counts before them."""
+    """(vid, pair) replaced by one number: the place within the segment, offset by the counts of the segments before it. Those
+    come from counts of stretches of SEGMENTS_OF segments, so only a row a stretch is in one order."""
     pairs = rows.select("vid", "pair").distinct()
     inside = F.row_number().over(Window.partitionBy("vid").orderBy("pair")) - 1
-    counts = pairs.groupBy("vid").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("vid", (F.sum("n").over(Window.orderBy("vid")) - F.col("n")).alias("offset"))
+    counts = pairs.groupBy("vid").agg(F.count(F.lit(1)).alias("n")).withColumn("stretch", F.expr(f"vid div {SEGMENTS_OF}"))
+    before = counts.groupBy("stretch").agg(F.sum("n").alias("of"))
+    before = before.select("stretch", (F.sum("of").over(Window.orderBy("stretch")) - F.col("of")).alias("before"))
+    in_stretch = F.sum("n").over(Window.partitionBy("stretch").orderBy("vid")) - F.col("n")
+    offsets = counts.withColumn("in_stretch", in_stretch).join(before, "stretch").select("vid", (F.col("before") + F.col("in_stretch")).alias("offset"))
     named = pairs.withColumn("inside", inside).join(offsets, "vid").select("vid", "pair", (F.col("offset") + F.col("inside")).cast("int").alias("new_vid"))
     return rows.join(named, ["vid", "pair"]).drop("vid", "pair").withColumnRenamed("new_vid", "vid")
 
@@ -84,9 +89,15 @@ def without_empty(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.forall("trajectories", lambda t: F.size(t) > 0))
 
 
-def chance(*parts, seed: int = 42):
-    """A number in [0, 1) that depends on the parts and the seed alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 20)) / (1 << 20)
+def drawn(part: str, seed: int = 42):
+    """48 bits of md5 of seed:part: a number that depends on these alone, in any engine."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(part).cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")
+
+
+def chance(part: str, seed: int = 42):
+    """A number in [0, 1)."""
+    return drawn(part, seed) / F.lit(float(1 << 48))
 
 
 def noisy(labels: DataFrame, missed: float, false: float, seed: int = 42) -> DataFrame:
@@ -97,12 +108,15 @@ def noisy(labels: DataFrame, missed: float, false: float, seed: int = 42) -> Dat
 
 
 def split(labels: DataFrame, n_train: int, seed: int = 42) -> DataFrame:
-    """A column `train`: n_train segments, as many of each label as its share asks, in an order by hash. Ranks come from
-    counts of hash bins, so no label is sorted in one task."""
-    keyed = labels.withColumn("h", F.xxhash64(F.lit(seed), "vid")).withColumn("bin", F.expr("shiftright(h, 50)"))
+    """A column `train`: n_train segments, as many of each label as its share asks, in an order by hash. Shares are rounded
+    cumulatively, so that they add up to n_train. Ranks come from counts of hash bins, so no label is sorted in one task."""
+    keyed = labels.withColumn("h", drawn("vid", seed)).withColumn("bin", F.expr("shiftright(h, 34)"))
     bins = keyed.groupBy("label", "bin").agg(F.count(F.lit(1)).alias("n"))
     before = bins.withColumn("before", F.sum("n").over(Window.partitionBy("label").orderBy("bin")) - F.col("n"))
-    totals = bins.groupBy("label").agg(F.sum("n").alias("of")).crossJoin(F.broadcast(bins.agg(F.sum("n").alias("all"))))
+    totals = bins.groupBy("label").agg(F.sum("n").alias("of"))  # a row a label
+    upto = F.sum("of").over(Window.orderBy("label"))
+    share = lambda n: F.round(F.lit(n_train) * n / F.sum("of").over(Window.partitionBy()))
+    totals = totals.select("label", (share(upto) - share(upto - F.col("of"))).alias("quota"))
     rank = F.row_number().over(Window.partitionBy("label", "bin").orderBy("h", "vid")) + F.col("before")
     ranked = keyed.join(before.drop("n"), ["label", "bin"]).withColumn("rank", rank).join(totals, "label")
-    return ranked.select("vid", "label", (F.col("rank") <= F.round(F.lit(n_train) * F.col("of") / F.col("all"))).alias("train"))
+    return ranked.select("vid", "label", (F.col("rank") <= F.col("quota")).alias("train"))

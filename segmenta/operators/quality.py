@@ -18,12 +18,14 @@ def label_stats(labels: DataFrame) -> DataFrame:
     return labels.agg(F.sum("label").alias("npos"), F.sum(1 - F.col("label")).alias("nneg"), F.avg("label").alias("ratio"))
 
 
-def scored(labels: DataFrame, predicted: DataFrame) -> DataFrame:
-    """qid and f1 of each query, from predicted (qid, vid) and labels (vid, label): only hits are joined, misses follow
-    from the count of positives."""
+def scored(labels: DataFrame, predicted: DataFrame, queries: int) -> DataFrame:
+    """qid and f1 of each of the queries 0 .. queries - 1, from predicted (qid, vid) and labels (vid, label): only hits are
+    joined, misses follow from the count of positives. A query without any hit scores 0."""
+    spark = labels.sparkSession
     hits = predicted.distinct().join(labels, "vid").groupBy("qid").agg(F.sum("label").alias("tp"), F.count(F.lit(1)).alias("n"))
+    every = F.broadcast(spark.range(queries).select(F.col("id").cast("int").alias("qid")))  # as many rows as programs
     pos = labels.agg(F.sum("label").alias("pos"))
-    joined = hits.crossJoin(F.broadcast(pos))  # one row
+    joined = every.join(hits, "qid", "left").crossJoin(F.broadcast(pos))  # one row
     return joined.select("qid", F.coalesce(2 * F.col("tp") / F.nullif(F.col("n") + F.col("pos"), F.lit(0)), F.lit(0.0)).alias("f1"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from segmenta.functions.predicates import OFFSETS, POLYGONS
+
 _SCENE = """
 latest AS (
   SELECT CAST(user_id // 5 AS INTEGER) AS vid, CAST(user_id % 5 AS INTEGER) AS oid,
@@ -122,7 +124,7 @@ _POOL_SQL = " UNION ALL ".join(f"SELECT {k} AS qid, vid FROM ({event(*p, bound=T
 _LABELS = "SELECT DISTINCT vid, CAST(vid % 3 < 2 AS INTEGER) AS label FROM scene"
 _F1 = f"""q AS ({_POOL_SQL}), l AS ({_LABELS}), n AS (SELECT sum(label) AS pos FROM l),
 f AS (SELECT qid, sum(label) AS tp, count(*) AS n FROM q JOIN l USING (vid) GROUP BY qid),
-s AS (SELECT qid, 2.0 * tp / (f.n + pos) AS f1 FROM f, n)"""
+s AS (SELECT CAST(e.qid AS INTEGER) AS qid, coalesce(2.0 * tp / (f.n + pos), 0) AS f1 FROM (SELECT unnest(range({{queries}})) AS qid) e LEFT JOIN f USING (qid), n)"""
 
 
 def _counts(source: str, tests: dict[str, str]) -> str:
@@ -138,7 +140,35 @@ _PAIR_TESTS = {"LeftOf": left("a", "b"), "RightOf": right("a", "b"), "Behind": b
 _PAIR_TESTS |= {"Near1": near("a", "b", 1.0), "Near3": near("a", "b", 3.0), "Far1": far("a", "b", 1.0), "Far3": far("a", "b", 3.0)}
 _SPEED = "({0}.vx * {0}.vx + {0}.vy * {0}.vy)"
 _MOTION = {"Stopped": f"CAST(sqrt({_SPEED.format('a')}) AS FLOAT) <= 200", "HighAccel": "CAST(sqrt(a.ax * a.ax + a.ay * a.ay) AS FLOAT) >= 400", "DistanceSmall": f"CAST({_distance('a', 'b')} AS FLOAT) <= 100"}
-_MOTION |= {n: f"CASE WHEN {_SPEED.format('b')} = 0 THEN {_SPEED.format('a')} > 0 ELSE {_SPEED.format('a')} / {_SPEED.format('b')} >= 1.5 END" for n in ("Faster", "Faster_matrix")}
+
+
+def faster(t: float, matrix: bool) -> str:
+    top, below = _SPEED.format("a"), _SPEED.format("b")
+    if matrix:
+        return f"CAST(CAST({top} AS FLOAT) / CAST(CAST({below} AS FLOAT) + CAST(1e-6 AS FLOAT) AS FLOAT) AS FLOAT) >= {t}"
+    return f"CASE WHEN {below} = 0 THEN {top} > 0 ELSE CAST({top} / {below} AS FLOAT) >= {t} END"
+
+
+_MOTION |= {"Faster": faster(1.5, False), "Faster_matrix": faster(1.5, True)}
+_SLOW_MOTION = {f"Faster{t}_{d}": faster(t, d == "matrix") for t in (1, 4) for d in ("sql", "matrix")}
+_GRID_TESTS = {f"{n}{t}{d}": f"{_ratio('a', 'b')} {op if d == 'sql' else op + '='} {t}" for n, op in (("Near", "<"), ("Far", ">")) for t in (1, 2) for d in ("sql", "matrix")}
+_GRID_TESTS |= {"TopQuadrant_sql": quadrant(_TOP, "a"), "TopQuadrant_matrix": quadrant(_TOP, "a").replace("< 160", "<= 160")}
+
+
+def lane(name: str, matrix: bool) -> str:
+    """Even-odd rule, an edge at a time; points on an edge are in or out as the rule has it, or out in the matrix dialect."""
+    points, above = POLYGONS[name], OFFSETS[name]
+    x, y = "CAST((o.x1 + o.x2) / 2 AS FLOAT)", "CAST((o.y1 + o.y2) / 2 AS FLOAT)" if above is None else f"CAST(o.y2 - {above} AS FLOAT)"
+    crossed, touched = [], []
+    for (xi, yi), (xj, yj) in zip(points, points[-1:] + points[:-1], strict=True):
+        crossed.append(f"CASE WHEN ({yi} > {y}) <> ({yj} > {y}) AND {x} < CAST(CAST({xj - xi} * ({y} - {yi}) AS FLOAT) / {yj - yi} AS FLOAT) + {xi} THEN 1 ELSE 0 END")
+        touched.append(f"(CAST({x} AS DOUBLE) - {xi}) * {yj - yi} = (CAST({y} AS DOUBLE) - {yi}) * {xj - xi} AND {x} BETWEEN {min(xi, xj)} AND {max(xi, xj)} AND {y} BETWEEN {min(yi, yj)} AND {max(yi, yj)}")
+    known = "" if name.startswith(("Eastward", "Westward")) else " AND o.vx IS NOT NULL AND o.vy IS NOT NULL AND o.ax IS NOT NULL AND o.ay IS NOT NULL"
+    return f"({' + '.join(crossed)}) % 2 = 1{known}" + (f" AND NOT ({' OR '.join(touched)})" if matrix else "")
+
+
+_LANE_TESTS = {f"{n}{'_matrix' if m else ''}": lane(n, m) for n in POLYGONS for m in (False, True)}
+_DRAWN = "CAST('0x' || substr(md5('42:' || CAST(vid AS VARCHAR)), 1, 12) AS BIGINT)"
 
 
 def _unit(name: str, test: str) -> str:
@@ -168,10 +198,16 @@ ORACLES = {
         relation=_SCENE.replace("\nscene AS", "\nevery AS") + ",\nscene AS (SELECT * REPLACE (CAST(fid // 4 AS INTEGER) AS fid) FROM every WHERE fid % 4 = 0)",
     ),
     "event_restricted": f"WITH {_SCENE} SELECT vid FROM ({event(('ab', near('a', 'b', 3.0), 1))}) WHERE vid IN (SELECT vid FROM scene WHERE color = 'yellow')",
+    "event_count": f"SELECT count(DISTINCT vid) AS segments FROM ({event(*_THEN)})",
+    "event_earliest": f"WITH d AS ({event(*_THEN, select='SELECT s0.vid, s0.a AS o0_oid, s0.b AS o1_oid, min(s1.until) AS done')} GROUP BY ALL) SELECT * FROM d WHERE done <= (SELECT max(done) FROM (SELECT done FROM d ORDER BY done LIMIT 10))",
     "scene": f"WITH {_SCENE} SELECT * FROM scene",
     "traffic": f"WITH {_TRAFFIC} SELECT * FROM traffic",
     "predicates_of_objects": f"WITH {_SCENE} {_counts('scene o', _OBJECT_TESTS)}",
     "predicates_of_pairs": f"WITH {_SCENE} {_counts(_PAIRS.format('scene'), _PAIR_TESTS)}",
+    "predicates_of_pairs_matrix": f"""WITH {_SCENE}, cornered AS (SELECT vid, fid, oid, floor(x1 / 40) * 40 AS x1, floor(y1 / 40) * 40 + 20 AS y1 FROM scene),
+grid AS (SELECT *, x1 + 40 AS x2, y1 + 40 AS y2 FROM cornered) {_counts(_PAIRS.format('grid'), _GRID_TESTS)}""",
+    "predicates_of_lanes": f"WITH {_TRAFFIC}, grid AS (SELECT * REPLACE (floor(x1 / 10) * 10 AS x1, floor(y1 / 10) * 10 AS y1, floor(x2 / 10) * 10 AS x2, floor(y2 / 10) * 10 AS y2) FROM traffic) {_counts('grid o', _LANE_TESTS)}",
+    "predicates_of_slow_motion": f"WITH {_TRAFFIC}, slow AS (SELECT * REPLACE ((fid % 3) * oid % 3 / 1024.0::DOUBLE AS vx, 0.0::DOUBLE AS vy) FROM traffic) {_counts(_PAIRS.format('slow'), _SLOW_MOTION)}",
     "predicates_of_motion": f"WITH {_TRAFFIC} {_counts(_PAIRS.format('traffic'), _MOTION)}",
     "box_overlap": f"""WITH {_SCENE}, o AS (
   SELECT a.vid, a.fid, a.oid AS a_oid, b.oid AS b_oid, least(a.x2, b.x2) - greatest(a.x1, b.x1) AS w, least(a.y2, b.y2) - greatest(a.y1, b.y1) AS h,
@@ -179,6 +215,9 @@ ORACLES = {
 SELECT vid, fid, a_oid, b_oid, round(CAST(CAST(w * h / (areas - w * h) AS FLOAT) AS DOUBLE), 5) AS iou FROM o
 WHERE w > 0 AND h > 0 AND round(CAST(CAST(w * h / (areas - w * h) AS FLOAT) AS DOUBLE), 5) > 0""",
     "pool": _POOL_SQL,
+    "predicate_relations": f"WITH {_SCENE} " + " UNION ALL ".join(f"SELECT '{n}' AS predicate, a.oid AS oid1, b.oid AS oid2, a.vid, a.fid FROM {_PAIRS.format('scene')} WHERE {t}" for n, t in (("near", near("a", "b", 1.0)), ("left_of", left("a", "b")))),
+    "interval_predicate_scores": f"""WITH {_SCENE}, p AS (SELECT a.vid, a.fid, CAST({_ratio('a', 'b')} AS DOUBLE) AS apart FROM {_PAIRS.format('scene')} WHERE a.oid = 0 AND b.oid = 1)
+SELECT p.vid, round(max(least(p.apart, -q.apart)), 4) AS score FROM p JOIN p q ON p.vid = q.vid AND q.fid = p.fid + 1 GROUP BY p.vid""",
     "pool_votes": f"SELECT vid, round(2 * p * (1 - p), 6) AS gini FROM (SELECT vid, count(*) / {len(_POOL)} AS p FROM ({_POOL_SQL}) GROUP BY vid)",
     "predicate_bits": f"""WITH {_SCENE} SELECT a.vid, a.fid, a.oid AS o0_oid, b.oid AS o1_oid,
   CAST(CASE WHEN {near('a', 'b', 2.0)} THEN 1 ELSE 0 END + CASE WHEN {left('a', 'b')} THEN 2 ELSE 0 END + CASE WHEN {quadrant(_TOP, 'b')} THEN 4 ELSE 0 END AS BIGINT) AS bits
@@ -194,11 +233,18 @@ k AS (SELECT vid, i, j FROM turn UNION SELECT k.vid, k.i, t.j FROM k JOIN turn t
     "track_extents": f"WITH {_SCENE}, {_TRACKS} SELECT * FROM t",
     "track_pairs": f"WITH {_SCENE}, {_TRACK_PAIRS} SELECT * FROM p",
     "pair_segments": f"""WITH {_SCENE}, {_TRACK_PAIRS}
-SELECT p.vid, p.oid1 * 1000000 + p.oid2 AS pair, CAST(s.oid = oid2 AS INTEGER) AS oid, s.fid - p.fs AS fid, x1, y1
+SELECT p.vid, CAST(p.oid1 AS BIGINT) * 4294967296 + p.oid2 AS pair, CAST(s.oid = oid2 AS INTEGER) AS oid, s.fid - p.fs AS fid, x1, y1
 FROM p JOIN scene s ON s.vid = p.vid AND s.oid IN (p.oid1, p.oid2) AND s.fid BETWEEN p.fs AND p.fe""",
     "cut_segments": f"WITH {_SCENE} SELECT vid, CAST(fid // 20 AS INTEGER) AS part, count(*) AS n, CAST(max(fid % 20) AS INTEGER) AS last FROM scene GROUP BY 1, 2",
-    "nested_pairs": f"WITH {_SCENE} SELECT vid, 2 AS objects, max(fid) + 1 AS frames FROM scene WHERE oid < 2 GROUP BY vid",
-    "query_quality": f"WITH {_SCENE}, {_F1} SELECT qid, round(f1, 6) AS f1 FROM s",
-    "quality_spread": f"WITH {_SCENE}, {_F1} SELECT qid % 2 AS step, round(quantile_cont(f1, 0.5), 6) AS median, round(quantile_cont(f1, 0.25), 6) AS low, round(quantile_cont(f1, 0.75), 6) AS high FROM s GROUP BY 1",
+    "nested_pairs": f"""WITH {_SCENE}, n AS (SELECT vid, max(fid) AS last FROM scene WHERE oid < 2 GROUP BY vid),
+g AS (SELECT vid, CAST(oid AS INTEGER) AS oid, CAST(unnest(range(last + 1)) AS INTEGER) AS fid FROM n, (VALUES (0), (1)) o(oid)) SELECT vid, oid, fid, x1, y2 FROM g LEFT JOIN scene USING (vid, oid, fid)""",
+    "noisy_labels": f"WITH {_SCENE}, l AS ({_LABELS}) SELECT vid, CASE WHEN {_DRAWN} / 281474976710656.0::DOUBLE < CASE label WHEN 1 THEN 0.2 ELSE 0.1 END THEN 1 - label ELSE label END AS label FROM l",
+    "label_split": f"""WITH {_SCENE}, l AS ({_LABELS}), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_DRAWN}, vid) AS rank FROM l),
+n AS (SELECT label, count(*) AS n FROM l GROUP BY label), c AS (SELECT label, n, sum(n) OVER (ORDER BY label) AS upto, sum(n) OVER () AS every FROM n)
+SELECT vid, r.label, rank <= round(20 * upto / every::DOUBLE) - round(20 * (upto - n) / every::DOUBLE) AS train FROM r JOIN c USING (label)""",
+    "query_quality": f"WITH {_SCENE}, {_F1.format(queries=8)} SELECT qid, round(f1, 6) AS f1 FROM s",
+    "quality_spread": f"WITH {_SCENE}, {_F1.format(queries=7)} SELECT qid % 2 AS step, round(quantile_cont(f1, 0.5), 6) AS median, round(quantile_cont(f1, 0.25), 6) AS low, round(quantile_cont(f1, 0.75), 6) AS high FROM s GROUP BY 1",
     "label_stats": f"WITH {_SCENE}, l AS ({_LABELS}) SELECT CAST(sum(label) AS BIGINT) AS npos, CAST(sum(1 - label) AS BIGINT) AS nneg, round(avg(label), 6) AS ratio FROM l",
 }
+_FREE = [ORACLES[n] for n in ("event_near", "event_attributes", "event_duration", "event_then", "event_new_variable")]
+ORACLES["pool_free"] = " UNION ALL ".join(f"SELECT {k} AS qid, vid FROM ({q})" for k, q in enumerate(_FREE))

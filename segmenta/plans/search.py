@@ -8,6 +8,8 @@ their scores, disagree most. All choices are ordered by score and then by text,
 from __future__ import annotations
 
 import random
+import re
+from ast import literal_eval
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from itertools import permutations
@@ -65,7 +67,8 @@ class Space:
 
 
 def unique(programs: list[Program], free: bool) -> list[Program]:
-    return list({text_of(c): c for c in (canonical(p, free) for p in programs)}.values())
+    """One program of each spelling. Variables are not sorted inside atoms: that would merge programs of other meanings."""
+    return list({text_of(c): c for c in (canonical(p, free, sort_variables=False) for p in programs)}.values())
 
 
 @dataclass
@@ -80,6 +83,7 @@ class Search:
     keep: int = 100
     weight: float = 0.01
     seed: int = 42
+    active: bool = True
     answers: dict[str, tuple[Program, float]] = field(default_factory=dict)
     log: list[dict] = field(default_factory=list)
 
@@ -90,7 +94,7 @@ class Search:
         spark = self.detections.sparkSession
         labels = spark.createDataFrame(list(self.labels.items()), "vid int, label int")
         rows = self.detections.join(F.broadcast(labels.select("vid")), "vid", "left_semi")
-        found = {r.qid: r.f1 for r in scored(labels, evaluate(rows, programs, self.space.bound)).collect()}  # a row a program
+        found = {r.qid: r.f1 for r in scored(labels, evaluate(rows, programs, self.space.bound), len(programs)).collect()}  # a row a program
         out = [(p, found.get(q, 0.0) - self.weight * cost(p, self.space.unit)) for q, p in enumerate(programs)]
         return sorted(out, key=lambda x: (-x[1], text_of(x[0])))
 
@@ -101,8 +105,17 @@ class Search:
             ranked = [x for x in ranked if x[1] >= ranked[self.keep - 1][1]]
         self.answers = {text_of(p): (p, s) for p, s in ranked}
 
+    def random_segments(self, n: int) -> list[int]:
+        """Unlabelled segments in an order by hash of the seed: what active learning is compared with."""
+        spark = self.detections.sparkSession
+        known = spark.createDataFrame([(v,) for v in self.labels] or [(-1,)], "vid int")
+        vids = self.detections.select("vid").distinct().join(known, "vid", "left_anti")
+        return [r.vid for r in vids.orderBy(F.xxhash64(F.lit(self.seed), "vid"), "vid").limit(n).collect()]
+
     def next_segments(self, n: int, sample: int = 100) -> list[int]:
         """Unlabelled segments on which the answers, weighted by score, disagree most."""
+        if not self.active:
+            return self.random_segments(n)
         spark = self.detections.sparkSession
         pool = [x for x in self.answers.values() if x[1] > 0] or list(self.answers.values())
         low = min(s for _, s in pool)
@@ -119,7 +132,7 @@ class Search:
     def _beam_of(self, found: list[tuple[Program, float]], how: str) -> list[Program]:
         if how == "ties":
             return [p for p, s in found if s >= found[min(self.beam, len(found)) - 1][1]] if found else []
-        rng = random.Random(self.seed)
+        rng = random.Random(self.seed * 1_000_003 + len(self.log))  # each round draws anew
         if how == "sample":  # without replacement, likelier the better
             found = sorted(found, key=lambda x: -(rng.random() ** (1 / max(1e-9, x[1]))))
         elif how == "random":
@@ -137,7 +150,7 @@ class Search:
             if not found:
                 break
             self._remember(found)
-            share = budget * (k + 1) // rounds - budget * k // rounds
+            share = budget_of(budget, rounds)[k]
             if share:
                 for v in self.next_segments(share):
                     self.labels[v] = self.ask(v)
@@ -148,6 +161,100 @@ class Search:
         return sorted(self.answers.values(), key=lambda x: (-x[1], text_of(x[0])))
 
 
+def budget_of(budget: int, rounds: int) -> list[int]:
+    """Labels of each round: as even as can be, what is left over from the middle round outwards."""
+    out = [budget // rounds] * rounds
+    middle = sorted(range(rounds), key=lambda k: (abs(k - (rounds - 1) / 2), k))
+    for k in middle[: budget % rounds]:
+        out[k] += 1
+    return out
+
+
+class Session:
+    """The search with a person in it: each call brings one label and returns the segment to look at next, first the given
+    ones, then the most disputed, until the budget is spent."""
+
+    def __init__(self, search: Search, first: list[int], rounds: int, budget: int, how: str = "best"):
+        self.search, self.first, self.rounds, self.how = search, list(first), rounds, how
+        self.shares = budget_of(budget, rounds)
+        self.state, self.round, self.programs, self.waiting = "label_first", 0, search.space.seeds(), list(first)
+
+    def next(self, label: int | None = None) -> int | None:
+        """label: that of the segment that the last call returned. None at the end; search.answers has the programs."""
+        if label is not None and self.waiting:
+            self.search.labels[self.waiting.pop(0)] = label
+        while not self.waiting and self.state != "terminated":
+            self._go_on()
+        return self.waiting[0] if self.waiting else None
+
+    def _go_on(self) -> None:
+        s = self.search
+        if self.state == "label_more":  # the labels of this round are in
+            s.answers = {text_of(p): (p, x) for p, x in s.score([p for p, _ in s.answers.values()])}
+            self._grow()
+        if self.state == "terminated":
+            return
+        found = s.score(self.programs)
+        found = [x for x in found if x[1] > 0] if self.round else found
+        if not found:
+            self.state = "terminated"
+            return
+        s._remember(found)
+        self.found, self.state = found, "label_more"
+        s.log.append({"round": self.round, "candidates": len(self.programs), "labels": len(s.labels), "best": text_of(found[0][0]), "score": found[0][1]})
+        share = self.shares[self.round]
+        self.waiting = s.next_segments(share) if share else []
+
+    def _grow(self) -> None:
+        s = self.search
+        self.round += 1
+        programs = unique([c for p in s._beam_of(self.found, self.how) for c in s.space.children(p)], not s.space.bound)
+        self.programs = [p for p in programs if text_of(p) not in s.answers]
+        if self.round >= self.rounds or not self.programs:
+            self.state = "terminated"
+
+
+def write_log(search: Search, path: str) -> None:
+    """The rounds and the final answers as text lines."""
+    with open(path, "w", encoding="utf-8") as f:
+        for row in search.log:
+            f.write(f"[Step {row['round']}] candidates {row['candidates']}, labels {row['labels']}\n({row['best']!r}, {row['score']!r})\n")
+        f.write("[Final answers]\n")
+        for p, s in sorted(search.answers.values(), key=lambda x: (-x[1], text_of(x[0]))):
+            f.write(f"({text_of(p)!r}, {s!r})\n")
+
+
+def read_log(path: str) -> tuple[list[tuple[int, str, float]], list[tuple[str, float]]]:
+    """(step, best program, score) of each round, and the final answers."""
+    steps, final, at = [], [], None
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            if m := re.match(r"\[Step (\d+)\]", line):
+                at = int(m[1])
+            elif line.startswith("[Final answers]"):
+                at = None
+            elif line.startswith("("):
+                program, score = literal_eval(line)
+                final.append((program, score)) if at is None else steps.append((at, program, score))
+    return steps, final
+
+
+def workload(detections: DataFrame, space: Space, n: int, atoms: int, steps: int, low: float, high: float, durations: tuple[int, ...] = (1,), seed: int = 0, tries: int = 20) -> list[tuple[Program, float]]:
+    """n random programs whose share of matching segments lies within low and high; each batch of drawn programs is evaluated
+    in one plan. Fewer if `tries` batches do not bring them."""
+    of = detections.agg(F.countDistinct("vid")).first()[0]
+    out: dict[str, tuple[Program, float]] = {}
+    for k in range(tries):
+        drawn = unique([random_program(space, atoms, steps, durations, seed * 10_007 + k * 101 + i) for i in range(2 * n)], not space.bound)
+        share = {r.qid: r.n / of for r in evaluate(detections, drawn, space.bound).groupBy("qid").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for q, p in enumerate(drawn):
+            if low <= share.get(q, 0.0) <= high and len(out) < n:
+                out.setdefault(text_of(p), (p, share.get(q, 0.0)))
+        if len(out) == n:
+            break
+    return list(out.values())
+
+
 def random_program(space: Space, atoms: int, steps: int, durations: tuple[int, ...] = (1,), seed: int = 0) -> Program:
     """A program for workloads: atoms dealt to steps, each step with one at least."""
     rng = random.Random(seed)
@@ -157,7 +264,7 @@ def random_program(space: Space, atoms: int, steps: int, durations: tuple[int, .
         step, a = rng.choice(out), rng.choice(pool)
         if not any(b.name == a.name and set(b.variables) == set(a.variables) for b in step):
             step.append(a)
-    return canonical(tuple(Step(tuple(s), rng.choice(durations)) for s in out), not space.bound)
+    return canonical(tuple(Step(tuple(s), rng.choice(durations)) for s in out), not space.bound, sort_variables=False)
 
 
 def ancestors(program: Program, unit: int = 5) -> list[Program]:

@@ -88,35 +88,57 @@ def completions(detections: DataFrame, program: Program, bound: bool = False, di
     prune=False windows every step on all its frames and joins afterwards; the result is the same."""
     prefix = None
     for step in program:
-        frames = step_frames(detections, step, bound, dialect)
-        own = ["vid", *[c for c in frames.columns if c.endswith("_oid")]]
-        if not prune:
-            frames = held(frames, step.duration, own, how)
-        if prefix is not None:
-            frames = after(prefix, frames, bound)
-        keys = ["vid", *sorted((c for c in frames.columns if c.endswith("_oid")), key=lambda c: int(c[1:-4]))]
-        if prune:
-            frames = held(frames, step.duration, keys, how)
-        prefix = frames.groupBy(*keys).agg(F.min("until").alias("done"))
+        prefix = advance(prefix, detections, step, bound, dialect, how, prune)
     return prefix
 
 
+def advance(prefix: DataFrame | None, detections: DataFrame, step: Step, bound: bool = False, dialect: str = "sql", how: str = "lead", prune: bool = True) -> DataFrame:
+    """Completions of a program with one step more, from those of the program before it (None: there is none)."""
+    frames = step_frames(detections, step, bound, dialect)
+    own = ["vid", *[c for c in frames.columns if c.endswith("_oid")]]
+    if not prune:
+        frames = held(frames, step.duration, own, how)
+    if prefix is not None:
+        frames = after(prefix, frames, bound)
+    keys = ["vid", *sorted((c for c in frames.columns if c.endswith("_oid")), key=lambda c: int(c[1:-4]))]
+    if prune:
+        frames = held(frames, step.duration, keys, how)
+    return frames.groupBy(*keys).agg(F.min("until").alias("done"))
+
+
 def matches(detections: DataFrame, program: Program, **options) -> DataFrame:
     """The segments (vid) in which the event occurs."""
     return completions(detections, program, **options).select("vid").distinct()
 
 
+WORD_BITS = 62
+
+
+def bit_words(atoms: list[Atom], columns: tuple[str, ...], dialect: str = "sql") -> list[Column]:
+    """One bit for each atom that holds, WORD_BITS of them in each bigint."""
+    bits = [F.when(_test(a, columns, dialect), F.lit(1 << k % WORD_BITS)).otherwise(F.lit(0)).cast("bigint") for k, a in enumerate(atoms)]
+    return [reduce(lambda x, y: x.bitwiseOR(y), bits[k : k + WORD_BITS]) for k in range(0, len(bits), WORD_BITS)]
+
+
+def bindings(detections: DataFrame, variables: list[str]) -> DataFrame:
+    """vid, fid and the columns of each variable, named after it, for all distinct objects of a frame (free mode)."""
+    found = None
+    for v in variables:
+        one = detections.select("vid", "fid", *[F.col(c).alias(f"{v}_{c}") for c in ("oid", *_columns(detections))])
+        found = one if found is None else found.join(one, ["vid", "fid"])
+    for a, b in combinations(variables, 2):
+        found = found.filter(F.col(f"{a}_oid") != F.col(f"{b}_oid"))
+    return found
+
+
+def bound_pairs(detections: DataFrame) -> DataFrame:
+    """vid, fid and the columns of o0 and o1, the objects 0 and 1 of a frame; either may be missing (bound mode)."""
+    pick = lambda k, c: F.max(F.when(F.col("oid") == k, F.col(c))).alias(f"o{k}_{c}")
+    return detections.filter(F.col("oid").isin(0, 1)).groupBy("vid", "fid").agg(*[pick(k, c) for k in (0, 1) for c in ("oid", *_columns(detections))])
+
+
 def predicate_table(detections: DataFrame, atoms: list[Atom], bound: bool = True, dialect: str = "sql") -> DataFrame:
-    """One row for each frame with o0 and o1 (bound mode: either may be missing) and a bigint `bits`, one bit for each
-    atom that holds."""
-    columns = _columns(detections)
-    if len(atoms) > 63:
-        raise ValueError("at most 63 atoms a table")
-    if bound:
-        pick = lambda k, c: F.max(F.when(F.col("oid") == k, F.col(c))).alias(f"o{k}_{c}")
-        frames = detections.filter(F.col("oid").isin(0, 1)).groupBy("vid", "fid").agg(*[pick(k, c) for k in (0, 1) for c in ("oid", *columns)])
-    else:
-        sides = [detections.select("vid", "fid", *[F.col(c).alias(f"o{k}_{c}") for c in ("oid", *columns)]) for k in (0, 1)]
-        frames = sides[0].join(sides[1], ["vid", "fid"]).filter("o0_oid <> o1_oid")
-    bits = [F.when(_test(a, columns, dialect), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, a in enumerate(atoms)]
-    return frames.select("vid", "fid", "o0_oid", "o1_oid", reduce(lambda x, y: x.bitwiseOR(y), bits).alias("bits"))
+    """One row for each frame with o0 and o1 (bound mode: either may be missing) and `bits`, an array of bigints with one bit
+    for each atom that holds."""
+    frames = bound_pairs(detections) if bound else bindings(detections, ["o0", "o1"])
+    return frames.select("vid", "fid", "o0_oid", "o1_oid", F.array(*bit_words(atoms, _columns(detections), dialect)).alias("bits"))

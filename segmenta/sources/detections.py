@@ -35,19 +35,27 @@ def read_labels(spark: SparkSession, inputs: str, labels: str) -> DataFrame:
 
 
 def read_tracker_frames(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of frames, each a list of [oid, x1, y1, x2, y2], one file a segment; coordinates are halved."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.from_json("value", "array<array<array<double>>>")).alias("fid", "objects"))
+    """A JSON list of frames, each a list of [oid, x1, y1, x2, y2], one file a segment; coordinates are halved. Segments are
+    numbered by their files' names: the list of files is what the driver reads anyway."""
+    texts = spark.read.text(path, wholetext=True)
+    names = sorted(texts.inputFiles())
+    vids = F.broadcast(spark.createDataFrame([(n, k) for k, n in enumerate(names)], "file string, vid int"))  # a row a file
+    rows = texts.select(F.input_file_name().alias("file"), F.posexplode(F.from_json("value", "array<array<array<double>>>")).alias("fid", "objects"))
     rows = rows.select("file", "fid", F.explode("objects").alias("o"))
     half = lambda k: F.floor(F.col("o")[k] / 2).cast("double")
-    vid = F.dense_rank().over(_by("file")) - 1
-    files = rows.select("file").distinct().withColumn("vid", vid.cast("int"))
-    return rows.join(files, "file").select(F.col("o")[0].cast("int").alias("oid"), "vid", "fid", *[half(k + 1).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))])
+    return rows.join(vids, "file").select(F.col("o")[0].cast("int").alias("oid"), "vid", "fid", *[half(k + 1).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))])
 
 
-def _by(*cols):
-    from pyspark.sql import Window
+def write_csv(detections: DataFrame, path: str, schema: str = SCENE) -> None:
+    """What read_csv reads: headerless, columns in the schema's order."""
+    detections.select(*[c.split()[0] for c in schema.split(", ")]).write.mode("overwrite").csv(path)
+
 
-    return Window.orderBy(*cols)
+def write_labels(labels: DataFrame, inputs: str, labels_path: str) -> None:
+    """Two JSON files that each hold one array, in order of vid. A label set is what one user gave: it fits a row."""
+    both = labels.agg(F.sort_array(F.collect_list(F.struct("vid", "label"))).alias("l"))
+    both.select(F.to_json(F.transform("l", lambda x: x["vid"]))).coalesce(1).write.mode("overwrite").text(inputs)
+    both.select(F.to_json(F.transform("l", lambda x: x["label"]))).coalesce(1).write.mode("overwrite").text(labels_path)
 
 
 def nested_pairs(pairs: DataFrame) -> DataFrame:
@@ -82,11 +90,17 @@ def sample_frames(detections: DataFrame, rate: int) -> DataFrame:
     return detections.filter(F.col("fid") % rate == 0).withColumn("fid", F.expr(f"CAST(fid div {rate} AS INT)"))
 
 
-def co_located(detections: DataFrame, partitions: int) -> DataFrame:
-    """Detections dealt by segment and kept: later joins and windows by segment need no further shuffle while
-    spark.sql.requireAllClusterKeysForCoPartition is false."""
-    detections.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    return detections.repartition(partitions, "vid").persist()
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+def co_located(detections: DataFrame) -> DataFrame:
+    """Detections dealt by segment once: all uses of them in a plan share that exchange, and joins, groups and windows that
+    hold the segment need no other. Joins do so only while CO_PARTITION is false; where the session leaves it at its
+    default, it is set here, once for the session."""
+    conf = detections.sparkSession.conf
+    if conf.get(CO_PARTITION) == "true":
+        conf.set(CO_PARTITION, "false")
+    return detections.repartition("vid")
 
 
 def _latest(events: DataFrame) -> DataFrame:
