@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import FEW, WORD, free_name, numbered, saved, small
+from segmenta.llm.common import FEW, WORD, dealt_join, free_name, numbered, saved, small
 
 EDITS = 2
 #: Index rows of a key from which its lines are compared in place.
@@ -142,12 +142,13 @@ def removals(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_c
     ends = pairs.union(pairs.select("b", "a")).toDF("lid", "other")
     found = occurrences(docs, id_col, uid=uid)
     classes = found.groupBy("lid").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"))
-    asked = small(saved(ends.select("lid").distinct()), FEW)
-    firsts = saved(classes.join(asked, "lid").select("lid", "first"))
+    asked = small(saved(ends.select("lid", F.lit(True).alias("asked")).distinct()), FEW)
+    told = saved(classes.join(asked, "lid", "left").filter("copies > 1 or asked"))  # lines that repeat or have near ones
+    firsts = told.filter("asked").select("lid", "first")
     each = ends.join(firsts, "lid").join(firsts.select(F.col("lid").alias("other"), F.col("first").alias("before")), "other")
     near = saved(each.filter("before < first").select("lid", F.lit(True).alias("near")).distinct())
-    lost = classes.join(small(near, FEW), "lid", "left").filter("copies > 1 or near").select("lid", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = found.join(lost, "lid").filter("near or at <> first")
+    lost = told.join(small(near, FEW), "lid", "left").filter("copies > 1 or near").select("lid", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = dealt_join(found, lost, "lid", "at", told.select("lid", F.col("copies").alias("n"))).filter("near or at <> first")
     return gone.groupBy(F.col("at.uid").alias("uid")).agg(
         F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("copy_lines"),
         F.sum(F.when(F.col("near"), 1).otherwise(0)).alias("near_lines"),
