@@ -53,6 +53,8 @@ def test_language(spark, docs_of):
     assert langid.identify(docs_of([])).collect() == []
     untaught = langid.identify(docs_of([(1, "words", None), (None, "words", "en")])).collect()
     assert {r.lang_pred for r in untaught} == {"und"}
+    clash = docs.withColumn("__language", F.lit("mine"))
+    assert {r[0] for r in langid.keep_identified(clash).select("__language").distinct().collect()} == {"mine"}
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns and kept.filter("doc_id >= 100").count() == 150
 
@@ -71,6 +73,8 @@ def test_mixing(spark, docs_of):
     assert all(e <= 2 * b for _, b, _, _, e in got)
     assert sum(e for *_, e in got) == pytest.approx(1.5 * sum(b for _, b, *_ in got), rel=0.01)
     assert mixing.mix(docs_of([])).collect() == []
+    clash = docs.withColumns({"__uid": F.lit("mine"), "__words": F.lit("mine"), "__SIZE": F.lit("mine")})
+    assert {tuple(r) for r in mixing.mixed_documents(clash).select("__uid", "__words", "__SIZE").distinct().collect()} == {("mine",) * 3}
     taken = mixing.mixed_documents(docs)
     assert taken.columns == docs.columns
     assert sum(len(WORD.findall(r.text or "")) for r in taken.collect()) == sum(e for *_, e in got)
@@ -139,9 +143,11 @@ def test_network_gradients():
     label = np.array([1, 0, 1])
     _, grad = net.gradients(words, odds, at, label)
     rng = np.random.default_rng(0)
-    for name in ("Wf", "Ub", "A", "v", "o", "c"):
+    assert set(grad) == set(net.p)
+    for name in net.p:
         flat = net.p[name].reshape(-1)
-        for k in rng.choice(flat.size, min(4, flat.size), replace=False):
+        touched = np.flatnonzero(grad[name].reshape(-1))  # of the embeddings only the words' own rows
+        for k in rng.choice(touched, min(4, touched.size), replace=False):
             old, step = flat[k], 1e-2
             flat[k] = old + step
             high = net.gradients(words, odds, at, label)[0]
@@ -151,6 +157,50 @@ def test_network_gradients():
             assert grad[name].reshape(-1)[k] == pytest.approx((high - low) / (2 * step), abs=2e-3), name
 
 
+def test_forward_against_plain_loop():
+    """The network's logit, one number at a time, as gated units and attention are defined."""
+    net = toxicity.Net(5)
+    net.odds = np.linspace(-1, 1, 1 << toxicity.ODDS_BITS).astype(np.float32)
+    words = "one or two ordinary wörter".split()
+    x = net.inputs(words).astype(float)
+    for w, row in zip(words, x, strict=True):
+        h = zlib.crc32(w.encode())
+        assert row[0] == pytest.approx(net.odds[h % (1 << toxicity.ODDS_BITS)])
+        assert row[1 : 1 + toxicity.WORD_DIM] == pytest.approx(net.p["words"][h % (1 << toxicity.WORD_BITS)])
+        marked = f"<{w}>"
+        grams = [[ord(c) for c in marked[k : k + 3]] for k in range(len(w))]
+        at = [((((a * 0x01000193 & 0xFFFFFFFF) ^ b) * 0x01000193 & 0xFFFFFFFF) ^ c) * 0x9E3779B1 % (1 << 32) >> (32 - toxicity.GRAM_BITS) for a, b, c in grams]
+        assert row[1 + toxicity.WORD_DIM :] == pytest.approx(np.mean([net.p["grams"][k] for k in at], 0), abs=1e-6)
+    n, sig = toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+
+    def states(way, order):
+        h, out = np.zeros(n), {}
+        for t in order:
+            g, a = x[t] @ net.p[f"W{way}"] + net.p[f"b{way}"], h @ net.p[f"U{way}"]
+            z, r = sig(g[:n] + a[:n]), sig(g[n : 2 * n] + a[n : 2 * n])
+            h = out[t] = (1 - z) * np.tanh(g[2 * n :] + r * a[2 * n :]) + z * h
+        return out
+
+    forth, back = states("f", range(len(words))), states("b", range(len(words) - 1, -1, -1))
+    both = [np.concatenate([forth[t], back[t]]) for t in range(len(words))]
+    weight = np.exp([np.tanh(s @ net.p["A"]) @ net.p["v"] for s in both])
+    want = sum(w * (s @ net.p["o"]) for w, s in zip(weight / weight.sum(), both, strict=True)) + net.p["c"][0]
+    gates = np.concatenate([np.zeros((1, 6 * n), np.float32), net.gates(net.inputs(words))])
+    at = np.zeros((1, toxicity.WINDOW), np.int64)
+    at[0, : len(words)] = range(1, len(words) + 1)
+    assert toxicity.window_logits(net, gates, at)[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_training_texts_of_repeated_ids(spark, docs_of):
+    """The least text of an id is trained with, whatever the order of rows."""
+    ids = [i for i in range(100) if not held(i)][:4]
+    rows = [(ids[0], "b"), (ids[0], "a"), (ids[1], "c"), (ids[2], None), (ids[2], "d"), (ids[3], None)]
+    labels = spark.createDataFrame([(ids[0], 1), (ids[1], 0), (ids[2], 0), (ids[2], 1), (ids[3], 0)], "doc_id bigint, toxic int")
+    for order in (rows, rows[::-1]):
+        got = toxicity.sample_of(docs_of(order), labels)
+        assert list(zip(got["text"], got["toxic"], strict=True)) == [("a", 1), ("c", 0), ("d", 1), (None, 0)]
+
+
 def test_toxicity(spark, docs_of):
     rng = random.Random(7)
     calm = "garden table morning letter window river bridge paper music yellow".split()
