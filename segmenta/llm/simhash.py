@@ -217,10 +217,11 @@ def links(keyed: DataFrame, radius: int = RADIUS, words: int = 1, shard: int = S
     array of 64-bit words), keys."""
     spark = keyed.sparkSession
     rows = keyed.select("node", "fp", F.explode("keys").alias("key"))
-    some = [F.min_by("fp", F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in range(PIVOTS)]
-    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.min_by("node", F.xxhash64(F.lit(k), "node")).alias(f"n{k}") for k in range(PIVOTS)], *some).filter(F.col("n") > shard)
-    pivots = F.array(*[F.struct(F.col(f"n{k}").alias("node"), F.col(f"p{k}").alias("fp")) for k in range(PIVOTS)])
-    large = saved(large.select("key", F.ceil(F.col("n") / shard).cast("int").alias("trees"), pivots.alias("pivots")))
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard)
+    counts = small(saved(counts), FEW)
+    some = [F.min_by(F.struct("node", "fp"), F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in range(PIVOTS)]
+    large = rows.join(counts, "key").groupBy("key").agg(F.first("n").alias("n"), *some)
+    large = saved(large.select("key", F.ceil(F.col("n") / shard).cast("int").alias("trees"), F.array(*[f"p{k}" for k in range(PIVOTS)]).alias("pivots")))
     rows = rows.join(small(large, FEW), "key", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
     apart = "+".join(f"bit_count(p.fp[{w}] ^ fp[{w}])" for w in range(words))
     rows = rows.withColumn("far", F.expr(f"transform(pivots, p -> {apart})"))
